@@ -32,7 +32,7 @@ from .common import prepare, shared_dir, written
 from .crc32c import crc32c_many, masked
 from .tokens import WordCache, words_of
 
-HEAD = struct.Struct("<qBB")
+HEAD = "<qBB"  # document id, null flag, width of an id
 FRAME = 16  # bytes that framing adds
 MANIFEST = "part int, file string, n_records long, n_tokens long"
 INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8")])
@@ -114,7 +114,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
                 ids = np.frombuffer(b"".join(map(look, text)) + end, "<u4")
                 width = 2 if ids.max() < 1 << 16 else 4
                 out = out or _Writer(folder, TaskContext.get().partitionId())
-                out.add(doc_id, HEAD.pack(doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes(), len(ids))
+                out.add(doc_id, struct.pack(HEAD, doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes(), len(ids))
         if out:
             part, name, n, tokens = out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_records": [n], "n_tokens": [tokens]})
@@ -174,8 +174,8 @@ def read_token_records(manifest: DataFrame, folder: str, with_ids: bool = False)
 
 
 def _decode(payload: memoryview) -> tuple[int | None, np.ndarray]:
-    doc_id, null, width = HEAD.unpack_from(payload)
-    return None if null else doc_id, np.frombuffer(payload[HEAD.size :], f"<u{width}").astype("<u4")
+    doc_id, null, width = struct.unpack_from(HEAD, payload)
+    return None if null else doc_id, np.frombuffer(payload[struct.calcsize(HEAD) :], f"<u{width}").astype("<u4")
 
 
 def read_records_at(folder: str, name: str, positions: list[int]) -> list[tuple[int | None, np.ndarray]]:
