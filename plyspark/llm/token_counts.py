@@ -37,7 +37,7 @@ END = "</w>"
 #: The tokenizer's own pattern of pieces, contractions aside (fixed by the vocabulary file).
 PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
-ODD = regex.compile(r"[\p{M}\p{C}\p{Z}ΣİK]|<\|")
+ODD = regex.compile(r"[\p{M}\p{C}\p{Z}\u03a3\u0130\u212a]|<\|")
 ODD_CHARS = 512
 _LETTERS = re.compile(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
