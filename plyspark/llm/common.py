@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Bits of the filter in `may_contain`: 8 MB at most, whatever the number of keys.
 FILTER_BITS = 1 << 26
 _PAGE = 1 << 15  # bits of one bitmap of bitmap_construct_agg
@@ -15,6 +17,7 @@ _PAGE = 1 << 15  # bits of one bitmap of bitmap_construct_agg
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    importable(spark)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_text import extract_text
+from .mixing import MIX_SQL, mix
+from .pii import replace_entities
 from .token_counts import token_counts
 from .token_records import token_records
 
@@ -15,6 +18,10 @@ from .token_records import token_records
 TOKENIZERS = os.environ.get("PLYSPARK_TOKENIZERS", "")
 
 
+#: Set a key of your own in production: whoever holds it can link surrogates to guesses.
+PII_KEY = os.environ.get("PLYSPARK_PII_KEY", "plyspark")
+
+
 def tokenizer(name: str) -> str:
     if TOKENIZERS:
         return f"{TOKENIZERS}/{name}"
@@ -31,9 +38,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_token_counts": op5_token_counts,
+    "op7_mixing": op7_mixing,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL}
