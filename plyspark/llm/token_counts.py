@@ -26,12 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .tokens import CACHE_CHARS, CACHE_WORDS, library, words_of
+from .textkernel import slices, text_column
+from .tokens import Generations, library
 
 END = "</w>"
 #: The tokenizer's own pattern of pieces, contractions aside (fixed by the vocabulary file).
@@ -39,6 +41,8 @@ PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 ODD = regex.compile(r"[\p{M}\p{C}\p{Z}\u03a3\u0130\u212a]|<\|")
 ODD_CHARS = 512
+SPACES = " \t\n\v\f\r"
+WIDE = b"\0wide"  # no table of signed bytes ends so: a step of 119 cannot follow 0 by a single character
 _LETTERS = re.compile(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
 
@@ -61,106 +65,136 @@ class PrefixCounter:
         if model["end_of_word_suffix"] != END or model["continuing_subword_prefix"]:
             raise ValueError("this counter is for BPE with an end-of-word mark")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
-        made = {LETTER[b] for b in range(256)} | {a + b for a, b in merges}
-        self.inner = {t for t in made if not t.endswith(END)}
-        self.final = {LETTER[b] for b in range(256)} | {t.removesuffix(END) for t in made if t.endswith(END)}
-        self.longest = max(map(len, self.inner | self.final))
+        # Tokens by number: letters, then letters with the end mark, then what each merge makes, in order.
+        names = [*LETTER, *(c + END for c in LETTER), *(a + b for a, b in merges)]
+        number = {t: i for i, t in enumerate(names)}
+        if len(number) != len(names):
+            raise ValueError("two merges make one token")
+        self.halves = [(i, i) for i in range(512)] + [(number[a], number[b]) for a, b in merges]
+        self.merged = {self.halves[i]: i for i in range(512, len(names))}
+        self.numbers: dict[str, tuple[int, int]] = {}  # letters -> token that goes on, token that ends; -1: none
+        for t, i in number.items():
+            bare = t.removesuffix(END)
+            a, b = self.numbers.get(bare, (-1, -1))
+            self.numbers[bare] = (a, i) if bare != t else (i, b)
+        self.longest = max(map(len, self.numbers))
         self.tokenizer = library(path)
-        self.pairs: dict[tuple[str, str, bool], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _holds(self, a: str, b: str, end: bool) -> bool:
-        """Whether merging the letters of a and b gives just a and b."""
-        key = (a, b, end)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 1_000_000:
+        self.pairs: dict[int, bool] = {}
+        self.tables: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], []
+        self.pieces = Generations(300_000)
+        self.words = Generations(300_000)
+
+    def _holds(self, a: int, b: int) -> bool:
+        """Whether tokens a and b stay apart when their letters are merged anew.
+
+        The last merges on either side of the border are undone, latest first, as far as the border's
+        neighbours; where two neighbours met that merge before the merge undone last, they would have.
+        """
+        key = a << 20 | b
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            parts = [*a, *b[:-1], b[-1] + END] if end else [*a, *b]
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 30))
-                pair = (parts[best], parts[best + 1])
-                if pair not in self.rank:
-                    break
-                out, i = [], 0
-                while i < len(parts):  # every occurrence of the pair, from the left
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                        out.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        out.append(parts[i])
-                        i += 1
-                parts = out
-            known = self.pairs[key] = parts == [a, b + END if end else b]
+            known = self.pairs[key] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        latest = 1 << 30
+        while self.merged.get((a, b), 1 << 30) >= latest:
+            if a < 512 and b < 512:
+                return True
+            if a > b:  # a was merged after b; equal merges go from the left, so b counts as one later
+                latest, a = a, self.halves[a][1]
+            else:
+                latest, b = b + 1, self.halves[b][0]
+        return False
+
     def piece(self, letters: str) -> list[int]:
-        """Token counts of letters[:1], letters[:2], ..., each as a piece of its own."""
-        n, holds, inner, final = len(letters), self._holds, self.inner, self.final
-        last, count, out = [""] * (n + 1), [0] * (n + 1), [0] * n
-        for i in range(1, n + 1):
-            need = 2  # the two tables
+        """Token counts of letters[:1], letters[:2], ..., each as a piece of its own.
+
+        What the last piece and this one begin with in common is taken over from its tables.
+        """
+        n, holds, numbers = len(letters), self._holds, self.numbers.get
+        was, last, count, out = self.tables
+        same = 0
+        for x, y in zip(was, letters):
+            if x != y:
+                break
+            same += 1
+        last, count, out = last[: same + 1], count[: same + 1], out[:same]
+        for i in range(same + 1, n + 1):
+            goes = ends = token = 0
             for j in range(max(0, i - self.longest), i):
-                t = letters[j:i]
-                if not last[i] and t in inner and (j == 0 or holds(last[j], t, False)):
-                    last[i], count[i] = t, count[j] + 1
-                    need -= 1
-                if not out[i - 1] and t in final and (j == 0 or holds(last[j], t, True)):
-                    out[i - 1] = count[j] + 1
-                    need -= 1
-                if not need:
+                t = numbers(letters[j:i])
+                if t is None:
+                    continue
+                a, b = t
+                if a >= 0 and not goes and (j == 0 or holds(last[j], a)):
+                    token, goes = a, count[j] + 1
+                if b >= 0 and not ends and (j == 0 or holds(last[j], b)):
+                    ends = count[j] + 1
+                if goes and ends:
                     break
+            last.append(token)
+            count.append(goes)
+            out.append(ends)
+        self.tables = letters, last, count, out
         return out
 
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii():
+            return self.piece(piece)
+        raw = piece.encode()
+        made = self.piece("".join(map(LETTER.__getitem__, raw)))
+        return [made[e - 1] for e in np.cumsum([len(c.encode()) for c in piece]).tolist()]
+
+    def split(self, word: str) -> list[str] | None:
+        """The word's pieces in lower case; None if the rule does not fit."""
+        low = word.lower()
+        if word.isascii() and word.isprintable():
+            fits = "<|" not in word and not ("'" in word and CONTRACTION.search(low))
+        else:
+            fits = len(low) == len(word) and not ODD.search(word) and not CONTRACTION.search(low) and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
+        return PIECES.findall(low) if fits else None
+
     def counts(self, word: str) -> list[int]:
         """Token counts of each non-empty prefix of a word."""
-        low = word.lower()
-        if len(low) != len(word) or ODD.search(word) or CONTRACTION.search(low) or not unicodedata.is_normalized("NFC", word) or not unicodedata.is_normalized("NFC", low):
-            if len(word) > ODD_CHARS:
-                total = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
-                return [0] * (len(word) - 1) + [total]
-            prefixes = [word[: i + 1] for i in range(len(word))]
-            return [len(e.ids) for e in self.tokenizer.encode_batch(prefixes, add_special_tokens=False)]
+        return self.counts_of([word])[0]
+
+    def counts_of(self, words: list[str]) -> list[list[int]]:
+        """The same for many words; their distinct pieces are worked out in order, so neighbours share tables."""
+        pieces = list(map(self.split, words))
+        kinds = sorted({p for ps in pieces if ps for p in ps})
+        known = dict(zip(kinds, self.pieces.look_up(kinds, lambda ps: list(map(self._piece, ps))), strict=True))
+        return [self._by_library(w) if ps is None else known[ps[0]] if len(ps) == 1 else self._run(ps, known) for w, ps in zip(words, pieces, strict=True)]
+
+    @staticmethod
+    def _run(pieces: list[str], known: dict[str, list[int]]) -> list[int]:
         out, before = [], 0
-        for p in PIECES.findall(low):
-            known = self.pieces.get(p)
-            if known is None:
-                if len(self.pieces) > CACHE_WORDS:
-                    self.pieces.clear()
-                if p.isascii():
-                    known = self.piece(p)
-                else:
-                    raw = p.encode()
-                    table = self.piece("".join(map(LETTER.__getitem__, raw)))
-                    known = [table[e - 1] for e in np.cumsum([len(c.encode()) for c in p]).tolist()]
-                if len(p) <= CACHE_CHARS:
-                    self.pieces[p] = known
-            out += [before + c for c in known] if before else known
-            before += known[-1]
+        for p in pieces:
+            out += [before + c for c in known[p]] if before else known[p]
+            before = out[-1]
         return out
 
-    def word(self, word: str) -> bytes:
-        """The word's count differences as signed bytes (wider steps are rare; see `table`)."""
-        known = self.words.get(word)
-        if known is None:
-            c = self.counts(word)
+    def _by_library(self, word: str) -> list[int]:
+        if len(word) > ODD_CHARS:
+            return [0] * (len(word) - 1) + [len(self.tokenizer.encode(word, add_special_tokens=False).ids)]
+        return [len(e.ids) for e in self.tokenizer.encode_batch([word[: i + 1] for i in range(len(word))], add_special_tokens=False)]
+
+    def steps_of(self, words: list[bytes]) -> list[bytes]:
+        """Count differences of words as signed bytes; wider steps, which are rare, as 4 bytes each with a mark."""
+        out = []
+        for c in self.counts_of([w.decode() for w in words]):
             d = [c[0], *map(int.__sub__, c[1:], c[:-1])]
-            if max(d) > 127 or min(d) < -128:
-                return np.array(d, "<i4").tobytes() + b"\0wide"
-            known = bytes(x & 255 for x in d)
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) > CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = known
-        return known
+            out.append(np.array(d, "<i4").tobytes() + WIDE if max(d) > 127 or min(d) < -128 else bytes(x & 255 for x in d))
+        return out
 
-    def total(self, word: str) -> int:
-        return int(_steps(self.word(word)).sum())
+    def totals_of(self, words: list[bytes]) -> list[int]:
+        return [c[-1] for c in self.counts_of([w.decode() for w in words])]
 
 
 def _steps(d: bytes) -> np.ndarray:
-    return np.frombuffer(d[:-5], "<i4") if d.endswith(b"\0wide") else np.frombuffer(d, np.int8).astype(np.int32)
+    return np.frombuffer(d[: -len(WIDE)], "<i4") if d.endswith(WIDE) else np.frombuffer(d, np.int8).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -169,10 +203,13 @@ def counter(path: str) -> PrefixCounter:
 
 
 def table(c: PrefixCounter, text: str) -> bytes:
-    """The text's table; steps beyond a signed byte make it a table of 4-byte steps with a closing mark."""
-    parts = [bytes(len(m)) if m[0] in " \t\n\v\f\r" else c.word(m) for m in _LETTERS.findall(text)]
-    if any(p.endswith(b"\0wide") for p in parts):
-        return np.concatenate([_steps(p) for p in parts]).astype("<i4").tobytes() + b"\0wide"
+    """The text's table; one step beyond a signed byte makes it a table of 4-byte steps with the mark."""
+    found = _LETTERS.findall(text)
+    words = list({m for m in found if m[0] not in SPACES})
+    made = dict(zip(words, c.words.look_up([w.encode() for w in words], c.steps_of), strict=True))
+    parts = [bytes(len(m)) if m[0] in SPACES else made[m] for m in found]
+    if any(p.endswith(WIDE) for p in parts):
+        return np.concatenate([_steps(p) for p in parts]).astype("<i4").tobytes() + WIDE
     return b"".join(parts)
 
 
@@ -197,29 +234,21 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table:
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", prefix_table binary" if with_table else "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, totals = counter(tokenizer), {}
+        c = counter(tokenizer)
+        totals = c.words if with_table else Generations()
+        make = c.steps_of if with_table else c.totals_of
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tables, n = [], []
-            for t in texts:
+            column = text_column(batch.column(1))
+            for low, high, words in slices(column):
+                kinds, inverse = words.distinct_words()
+                values = totals.look_up(kinds, make)
+                each = np.array([int(_steps(v).sum()) for v in values] if with_table else values, np.int64)
+                running = np.concatenate([[0], np.cumsum(each[inverse])]) if len(kinds) else np.zeros(1, np.int64)
+                n = np.diff(running[words.first])
+                part = column.slice(low, high - low)
+                columns = {"doc_id": batch.column(0).slice(low, high - low), "n_bytes": pc.binary_length(part).cast(pa.int64()), "n_tokens": n, "over_limit": n > limit}
                 if with_table:
-                    tables.append(table(c, t))
-                    n.append(int(_steps(tables[-1]).sum()))
-                    continue
-                words, total = words_of(t), 0
-                try:
-                    total = sum(map(totals.__getitem__, words))
-                except KeyError:
-                    if len(totals) > CACHE_WORDS:
-                        totals.clear()
-                    extra = {}
-                    for w in set(words) - totals.keys():
-                        (totals if len(w) <= CACHE_CHARS else extra)[w] = c.counts(w)[-1]
-                    total = sum(totals[w] if w in totals else extra[w] for w in words)
-                n.append(total)
-            columns = {"doc_id": batch.column(0), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
-            if with_table:
-                columns["prefix_table"] = pa.array(tables, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+                    columns["prefix_table"] = pa.array([table(c, t) for t in part.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, schema)
