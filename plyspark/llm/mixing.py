@@ -139,7 +139,7 @@ c AS (
   SELECT *, CASE WHEN size > 0 AND start + size / CAST(2 AS DOUBLE) < target THEN 1 ELSE 0 END
           + CASE WHEN size > 0 AND source_size + (start + size / CAST(2 AS DOUBLE)) < target THEN 1 ELSE 0 END AS copies FROM o)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
-       CASE WHEN copies > 0 THEN least(CASE (sid - 1) % 3
+       CASE WHEN copies > 0 THEN least(0 + CASE (sid - 1) % 3
          WHEN 0 THEN (sqrt(greatest(CAST(2.25 AS DOUBLE) + CAST(-2 AS DOUBLE) * (start / target), 0)) - CAST(1.5 AS DOUBLE)) / CAST(-1 AS DOUBLE)
          WHEN 1 THEN start / target
          ELSE (sqrt(greatest(CAST(0.25 AS DOUBLE) + CAST(2 AS DOUBLE) * (start / target), 0)) - CAST(0.5 AS DOUBLE)) / CAST(1 AS DOUBLE) END, 1) END AS position

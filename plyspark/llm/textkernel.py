@@ -78,6 +78,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # length n + 1
+    bounds: np.ndarray | None = None  # bytes at which texts begin and end
 
     @property
     def counts(self) -> np.ndarray:
@@ -96,6 +97,13 @@ class Words:
         return family(seed).spans(hashes, at, np.minimum(at + k, self.first[text + 1])), text
 
 
+    def distinct_words(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words of the slice, and for each word the place of its like among them."""
+        _, where, inverse = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.starts[where].tolist(), self.ends[where].tolist(), strict=True)], inverse
+
+
 def text_column(column: pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -104,7 +112,7 @@ def text_column(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, separators: np.ndarray = SEP) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, Words) for row ranges of bounded bytes."""
     column = text_column(column)
     n = len(column)
@@ -117,12 +125,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
         high = min(high, n)
-        yield low, high, split(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        yield low, high, split(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], separators)
         low = high
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    word = ~SEP[data]
+def split(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEP) -> Words:
+    word = ~separators[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = word
     before[offsets] = False  # a text begins here
@@ -131,7 +139,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     after[:-1] = word
     after[offsets] = False
     ends = np.flatnonzero(word & ~after[1:]) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
 def distinct(values: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
