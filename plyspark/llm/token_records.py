@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, shared_dir, written
 from .crc32c import crc32c_many, masked
-from .tokens import WordCache, words_of
+from .textkernel import slices
+from .tokens import Encoder
 
 HEAD = "<qBB"  # document id, null flag, width of an id
 FRAME = 16  # bytes that framing adds
@@ -104,17 +105,16 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, end = None, np.array([end_id], "<u4").tobytes()
-        words = WordCache(tokenizer, lambda w, ids: np.array(ids, "<u4").tobytes())
+        out, encoder = None, Encoder(tokenizer)
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            extra = words.learn([w for t in texts for w in t])
-            look = (lambda w: words[w] if w in words else extra[w]) if extra else words.__getitem__
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = np.frombuffer(b"".join(map(look, text)) + end, "<u4")
-                width = 2 if ids.max() < 1 << 16 else 4
-                out = out or _Writer(folder, TaskContext.get().partitionId())
-                out.add(doc_id, struct.pack(HEAD, doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes(), len(ids))
+            doc_ids = batch.column(0).to_pylist()
+            for low, _, words in slices(batch.column(1)):
+                ids, offsets = encoder.ids(words)
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    own = np.append(ids[a:b], np.uint32(end_id))
+                    width = 2 if own.max() < 1 << 16 else 4
+                    out = out or _Writer(folder, TaskContext.get().partitionId())
+                    out.add(doc_ids[low + i], struct.pack(HEAD, doc_ids[low + i] or 0, doc_ids[low + i] is None, width) + own.astype(f"<u{width}").tobytes(), len(own))
         if out:
             part, name, n, tokens = out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_records": [n], "n_tokens": [tokens]})

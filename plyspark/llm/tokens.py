@@ -9,12 +9,19 @@ space, so they too stay inside one word.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-#: Words kept in a worker's memory; when full, the memory is emptied and filled anew.
-CACHE_WORDS = 500_000
-#: Longer words are encoded each time, not kept.
-CACHE_CHARS = 64
+import numpy as np
+
+from .textkernel import Words
+
+#: Words of one generation of a worker's memory; two are kept, so that frequent words stay.
+CACHE_WORDS = 700_000
+#: Longer words are worked out each time, not kept.
+CACHE_BYTES = 64
+#: Keeps words apart where many are encoded together; words that hold it are encoded alone.
+MARK, JOINED = b"\x01", 100
 
 
 @lru_cache(maxsize=4)
@@ -28,33 +35,68 @@ def library(path: str):
     return t
 
 
-def words_of(text: str | None) -> list[str]:
-    """Pieces between ASCII white space, without empty ones."""
-    if not text:
-        return []
-    for c in "\t\n\v\f\r":
-        if c in text:
-            text = text.replace(c, " ")
-    out = text.split(" ")
-    return [w for w in out if w] if "" in out else out
-
-
-class WordCache(dict):
-    """word -> make(word, ids), filled by the library for the words that are missing."""
-
-    def __init__(self, path: str, make):
-        super().__init__()
-        self.tokenizer, self.make = library(path), make
-
-    def learn(self, words) -> dict:
-        """Entries of the long words, which are not kept; afterwards all others are in the cache."""
-        missing = [w for w in set(words) if w not in self]
-        if len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = list(set(words))
-        extra = {}
-        for low in range(0, len(missing), 4096):
-            part = missing[low : low + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (self if len(w) <= CACHE_CHARS else extra)[w] = self.make(w, e.ids)
-        return extra
+class Generations:
+    """A bounded memory of word -> value: what is asked for stays, what is not is dropped in time."""
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        self.young, self.old, self.limit = {}, {}, limit
+
+    def look_up(self, words: list[bytes], make) -> list:
+        """Values of the distinct words; make(list of missing words) gives theirs."""
+        out = list(map(self.young.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if missing and self.old:
+            for i in missing:
+                out[i] = self.old.get(words[i])
+                if out[i] is not None:
+                    self.young[words[i]] = out[i]
+            missing = [i for i in missing if out[i] is None]
+        if missing:
+            for i, v in zip(missing, make([words[i] for i in missing]), strict=True):
+                out[i] = v
+                if len(words[i]) <= CACHE_BYTES:
+                    self.young[words[i]] = v
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        return out
+
+
+class Encoder:
+    """Token ids of slices of texts."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.memory = library(path), Generations()
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+
+    def _make(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; the library gets many words in one text, kept apart by a mark that is a token of its own."""
+        plain = [i for i, w in enumerate(words) if MARK not in w]
+        out: list[bytes | None] = [None] * len(words)
+        joint = f" {MARK.decode()} "
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for low in range(0, len(groups), 64):
+            part = groups[low : low + 64]
+            texts = [joint.join(words[i].decode() for i in g) for g in part]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.mark).tolist()
+                if len(cuts) != len(group) - 1:
+                    raise ValueError("the mark met another word")
+                for i, a, b in zip(group, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
+                    out[i] = ids[a:b].tobytes()
+        for i, known in enumerate(out):
+            if known is None:
+                out[i] = array("I", self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids).tobytes()
+        return out
+
+    def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of the slice, and the offsets of the texts in them."""
+        kinds, inverse = words.distinct_words()
+        values = self.memory.look_up(kinds, self._make)
+        pool = np.frombuffer(b"".join(values), np.uint32)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[inverse]
+        ends = np.cumsum(counts)
+        at = np.repeat(begins[inverse] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return pool[at], np.concatenate([[0], ends])[words.first]
