@@ -57,3 +57,11 @@ def with_flag(df: DataFrame, key: str, pages: DataFrame, flag: str = "_flag") ->
     out = df.withColumn("_page", (slot / _PAGE).cast("int")).withColumn("_at", bit).join(pages, "_page", "left")
     hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0, F.lit(False))
     return out.withColumn(flag, hit).drop("_page", "_at", "_bits")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose key is among ids[id_col]; only rows that the filter flags travel.  Null keys stay."""
+    flagged = with_flag(df, key, may_contain(ids, id_col))
+    plain = flagged.where("not _flag").drop("_flag")
+    gone = ids.select(F.col(id_col).alias("_gone")).distinct()
+    return plain.unionByName(flagged.where("_flag").drop("_flag").join(gone, F.col(key) == F.col("_gone"), "left_anti"))

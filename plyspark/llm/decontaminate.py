@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare, without, written
 from .shingles import shingle_sets
 
 #: A block of items: at most so many, and so many characters (one longer item is a block of its own).
@@ -130,7 +130,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 75, id
     Ids are what is dropped: rows that share an id with a holder go with it.
     """
     held = written(contained_items(docs, benchmark, percent, id_col, text_col).select(F.col("doc_id").alias("_held")).distinct(), "held")
-    return docs.join(held, F.col(id_col) == F.col("_held"), "left_anti")
+    return without(docs, id_col, held, "_held")
 
 
 CONTAINED_SQL = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import may_contain, prepare, with_flag, written
+from .common import may_contain, prepare, with_flag, without, written
 from .components import components
 from .shingles import shingle_sets, signed
 from .textkernel import mix
@@ -286,3 +286,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = every.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component_id")
     out = out.join(every, (F.col("n_shingles") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c1").alias("class1"), F.col("c2").alias("class2"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest id of each component only, all columns kept.
+
+    Of rows with equal id and text one stays; rows with a null id, which nothing can name, stay.
+    """
+    found = written(jaccard_components(docs, id_col, text_col), "found")
+    dropped = found.where("doc_id <> component_id").select("doc_id")
+    repeated = found.where("doc_id is not null").groupBy("doc_id", "class1", "class2").count().where("count > 1").select("doc_id")
+    kept = with_flag(without(docs, id_col, dropped, "doc_id"), id_col, may_contain(repeated, "doc_id"))
+    return kept.where("not _flag").drop("_flag").unionByName(kept.where("_flag").drop("_flag").dropDuplicates([id_col, text_col]))

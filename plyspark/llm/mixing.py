@@ -70,10 +70,8 @@ def time_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.least(F.coalesce(out, F.lit(knots[-1][0])), F.lit(knots[-1][0]))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document, range-sorted by position: doc_id, size, source_size, target, taken (words the
-    mix takes, repeats counted), position (time of the first taking; null if not taken), and sid, start, key
-    for `takings`."""
+def placed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`mix` in any order."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sized.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
@@ -83,20 +81,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     starts = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(by_bucket), F.lit(0))).drop("in_bucket")
     s, b, r = sources.alias("s"), starts.alias("b"), rows.alias("r")
     keyed = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("sid", "source_size", "target", F.col("b.source").alias("b_source"), F.col("b.bucket").alias("b_bucket"), "before")
-    placed = r.join(keyed, F.col("r.source").eqNullSafe(F.col("b_source")) & (F.col("r.bucket") == F.col("b_bucket")))
+    rows = r.join(keyed, F.col("r.source").eqNullSafe(F.col("b_source")) & (F.col("r.bucket") == F.col("b_bucket")))
     within = W.partitionBy("sid", "b_bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = placed.withColumn("start", F.col("before") + F.sum("size").over(within) - F.col("size"))
+    rows = rows.withColumn("start", F.col("before") + F.sum("size").over(within) - F.col("size"))
     middle = F.col("start") + F.col("size") / F.lit(2.0)
     passes = [(F.lit(p) * F.col("source_size") + middle < F.col("target")) & (F.col("size") > 0) for p in range(int(-(-most // 1)))]
-    placed = placed.withColumn("copies", sum((p.cast("int") for p in passes[1:]), passes[0].cast("int")))
+    rows = rows.withColumn("copies", sum((p.cast("int") for p in passes[1:]), passes[0].cast("int")))
     share = F.col("start") / F.col("target")
     position = None
     for i, knots in enumerate(schedules):
         here = (F.col("sid") - 1) % len(schedules) == i
         position = F.when(here, time_of(share, knots)) if position is None else position.when(here, time_of(share, knots))
-    placed = placed.withColumn("position", F.when(F.col("copies") > 0, position))
-    out = placed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "position", "copies", "sid", "key")
-    return out.repartitionByRange("position", "key", "doc_id").sortWithinPartitions("position", "key", "doc_id")
+    rows = rows.withColumn("position", F.when(F.col("copies") > 0, position))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "position", "copies", "key")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document, range-sorted by position: doc_id, size, source_size, target, taken (words the
+    mix takes, repeats counted), position (time of the first taking; null if not taken), copies and key."""
+    return placed(docs, **options).repartitionByRange("position", "key", "doc_id").sortWithinPartitions("position", "key", "doc_id")
 
 
 def taken_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -105,7 +108,7 @@ def taken_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     The number of takings goes to each document by its id; rows that share an id share the number of the
     one with most.  Documents travel once, to join their number.
     """
-    copies = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    copies = placed(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
     again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     return joined.withColumn("_pass", again).select(*[F.col(c) for c in docs.columns])
