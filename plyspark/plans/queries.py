@@ -138,7 +138,7 @@ def _tags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("game_id", F.col("ply").alias("pos"), F.when(F.col("encoded_move") % 2 == 0, "Opening").otherwise("Round").alias("name"), F.concat(F.lit("v"), F.col("zobrist_hash").cast("string")).alias("value"))
 
 
-_TAGS = "tags AS (SELECT game_id, ply AS pos, CASE WHEN encoded_move % 2 = 0 THEN 'Opening' ELSE 'Round' END AS name, 'v' || CAST(zobrist_hash AS VARCHAR) AS value FROM pos WHERE ply > 0)"
+_TAGS = "tags AS (SELECT game_id, ply AS pos, (CASE WHEN encoded_move % 2 = 0 THEN 'Opening' ELSE 'Round' END) || left(CAST(game_id AS VARCHAR), 0) AS name, 'v' || CAST(zobrist_hash AS VARCHAR) AS value FROM pos WHERE ply > 0)"
 _STORED = "stored AS (SELECT id, result, eco, white_elo, black_elo, CASE WHEN id % 10 = 0 THEN 'manual' ELSE 'imported' END AS source_type, CAST(NULL AS VARCHAR) AS source_label, 'new' AS review_status FROM games)"
 
 

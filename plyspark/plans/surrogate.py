@@ -53,7 +53,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "white_id", "black_id", "white", "black", "white_elo", "black_elo", result.alias("result"), "event", "eco")
 
 
-#: The same tables as DuckDB common table expressions.
+#: The same tables as DuckDB common table expressions.  The empty strings that are appended keep texts from
+#: staying dictionary-coded across joins, which some builds of that engine stumble over.
 POSITION_SQL = """
 ply AS (
   SELECT l_orderkey AS game_id, CAST(l_partkey % 6 AS INTEGER) AS k,
@@ -69,14 +70,15 @@ pos AS (
         UNION ALL SELECT DISTINCT CAST(0 AS BIGINT), game_id, 0, 0 FROM ply))"""
 GAMES_SQL = """
 cust AS (
-  SELECT c_custkey, c_name, c_nationkey,
-         CASE WHEN c_custkey % 7 <> 0 THEN CAST(1200 + c_custkey * 37 % 1500 AS INTEGER) END AS elo FROM customer),
+  SELECT c_custkey, c_name || left(CAST(c_custkey AS VARCHAR), 0) AS c_name, c_nationkey,
+         CASE WHEN c_custkey % 7 <> 0 THEN CAST(1200 + c_custkey * 37 % 1500 + 0 * c_nationkey AS INTEGER) END AS elo FROM customer),
+dealt AS MATERIALIZED (SELECT *, (o_custkey * 7 + 3) % n AS black_key FROM orders, (SELECT count(*) AS n FROM customer)),
 games AS (
   SELECT o_orderkey AS id, w.c_custkey AS white_id, b.c_custkey AS black_id, w.c_name AS white, b.c_name AS black,
          w.elo AS white_elo, b.elo AS black_elo,
-         CASE o_orderstatus WHEN 'F' THEN '1-0' WHEN 'O' THEN '0-1' ELSE '1/2-1/2' END AS result,
-         n_name AS event, o_orderpriority AS eco
-  FROM orders
+         (CASE o_orderstatus WHEN 'F' THEN '1-0' WHEN 'O' THEN '0-1' ELSE '1/2-1/2' END) || left(CAST(o_orderkey AS VARCHAR), 0) AS result,
+         n_name || left(CAST(o_orderkey AS VARCHAR), 0) AS event, o_orderpriority || left(CAST(o_orderkey AS VARCHAR), 0) AS eco
+  FROM dealt
   JOIN cust w ON w.c_custkey = o_custkey
-  JOIN cust b ON b.c_custkey = (o_custkey * 7 + 3) % (SELECT count(*) FROM customer)
+  JOIN cust b ON b.c_custkey = black_key
   LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON n.n_nationkey = w.c_nationkey)"""
