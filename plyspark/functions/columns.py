@@ -8,11 +8,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import importable
 from .board import Board, InvalidFen, InvalidMove, name_of, pv_to_san, replay, replayed, signed, uci_of
 
 
+TEXT = T.StringType()
+
+
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, TEXT) for n in names])
+
+
 def _board(fen) -> Board | None:
     try:
         return Board(fen) if isinstance(fen, str) else None
@@ -24,19 +32,19 @@ def _each(series: pd.Series, f) -> pd.Series:
     return pd.Series([f(x) for x in series], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def normal_fen(fen: pd.Series) -> pd.Series:
     """The FEN written anew; null if it is invalid."""
     return _each(fen, lambda x: (b := _board(x)) and b.fen())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fen_hash(fen: pd.Series) -> pd.Series:
     """The position's 64-bit hash, signed; null if the FEN is invalid."""
     return pd.Series([signed(b.hash()) if (b := _board(x)) else None for x in fen], dtype="Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def replay_fen(moves: pd.Series, ply: pd.Series) -> pd.Series:
     """FEN after the first `ply` moves; null where there are fewer."""
 
@@ -48,7 +56,7 @@ def replay_fen(moves: pd.Series, ply: pd.Series) -> pd.Series:
     return pd.Series([one(m, n) for m, n in zip(moves, ply)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def move_san(fen: pd.Series, move: pd.Series) -> pd.Series:
     """SAN of a 16-bit move on a board; null if it is not legal there."""
 
@@ -59,7 +67,7 @@ def move_san(fen: pd.Series, move: pd.Series) -> pd.Series:
     return pd.Series([one(x, m) for x, m in zip(fen, move)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def move_san_at(moves: pd.Series, ply: pd.Series, move: pd.Series) -> pd.Series:
     """SAN of a move on the board after `ply` moves of a game."""
 
@@ -72,7 +80,7 @@ def move_san_at(moves: pd.Series, ply: pd.Series, move: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(moves, ply, move)], dtype=object)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def san_move(fen: pd.Series, san: pd.Series) -> pd.Series:
     """The 16-bit move that a SAN means on a board; null if none or more than one."""
 
@@ -86,16 +94,13 @@ def san_move(fen: pd.Series, san: pd.Series) -> pd.Series:
     return pd.Series([one(x, s) for x, s in zip(fen, san)], dtype="Int32")
 
 
-_MOVE = "struct<uci:string,san:string,from:string,to:string,promotion:string,move:int,fen:string>"
-
-
 def move_info(b: Board, m: int) -> dict:
     after = b.copy()
     after.play(m)
     return {"uci": uci_of(m), "san": b.san(m), "from": name_of(m & 63), "to": name_of(m >> 6 & 63), "promotion": "nbrq"[m >> 12 & 3] if m >> 15 else None, "move": m, "fen": after.fen()}
 
 
-@F.pandas_udf(_MOVE)
+@F.pandas_udf(_texts("uci", "san", "from", "to", "promotion").add("move", T.IntegerType()).add("fen", TEXT))
 def apply_uci(fen: pd.Series, uci: pd.Series) -> pd.DataFrame:
     """The move and the FEN after it; nulls if it is illegal."""
 
@@ -110,7 +115,7 @@ def apply_uci(fen: pd.Series, uci: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({c: [r.get(c) for r in rows] for c in ("uci", "san", "from", "to", "promotion", "move", "fen")}).astype({"move": "Int32"})
 
 
-@F.pandas_udf("array<struct<uci:string,san:string,from:string,to:string,promotion:string>>")
+@F.pandas_udf(T.ArrayType(_texts("uci", "san", "from", "to", "promotion")))
 def legal_moves(fen: pd.Series) -> pd.Series:
     """All legal moves of a board, by UCI; null if the FEN is invalid."""
 
@@ -124,13 +129,13 @@ def legal_moves(fen: pd.Series) -> pd.Series:
     return _each(fen, one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(TEXT))
 def line_san(fen: pd.Series, pv: pd.Series) -> pd.Series:
     """SAN of a line of UCI moves up to the first illegal one; null if the FEN is invalid."""
     return pd.Series([pv_to_san(x, list(p)) if _board(x) and p is not None else None for x, p in zip(fen, pv)], dtype=object)
 
 
-@F.pandas_udf("struct<hashes:array<long>,fens:array<string>,sans:array<string>>")
+@F.pandas_udf(T.StructType().add("hashes", T.ArrayType(T.LongType())).add("fens", T.ArrayType(TEXT)).add("sans", T.ArrayType(TEXT)))
 def game_sequence(moves: pd.Series) -> pd.DataFrame:
     """Hashes (the start first), FENs and SANs of a game, ply by ply."""
     rows = [replayed([int(x) for x in m]) if m is not None else (None, None, None) for m in moves]

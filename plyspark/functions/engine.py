@@ -97,8 +97,8 @@ def analyse(positions: DataFrame, command: list[str], limits: Limits) -> DataFra
                         if engine:
                             engine.close()
                             engine = None
-                out = pd.DataFrame(rows, columns=columns)
-                yield out.astype({"multipv": "Int32", "depth": "Int32", "score": "Int32"})
+                out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="Int32" if c in ("multipv", "depth", "score") else object) for c in columns})
+                yield out
         finally:
             if engine:
                 engine.close()

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import find_tag, parse_elo, position_rows, positions_of, result_number
 from ..operators import changes
-from ..operators.games import game_view
 from ..sources.bundle import Bundle
 from ..sources.pgn import parse_games, read_pgn
 
@@ -108,9 +107,8 @@ def import_pgn(bundle: Bundle, files: str | list[str], source_label: str | None
 
 def rebuild_positions(bundle: Bundle) -> None:
     """Replays every game into a new position table, swapped in when it is whole."""
-    game = bundle.table("game")
-    rated = game_view(game, bundle.table("player"), bundle.table("event"))
-    bundle.commit(replace={"position": position_rows(rated.select("id", "moves", "result", "white_elo", "black_elo"))}, position_index_dirty=False)
+    game = bundle.table("game").select("id", "moves", "result", "white_elo", "black_elo")
+    bundle.commit(replace={"position": position_rows(game)}, position_index_dirty=False)
 
 
 def delete_games(bundle: Bundle, ids: list[int], only_manual: bool = False) -> int:
