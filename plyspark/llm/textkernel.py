@@ -56,10 +56,21 @@ class Family:
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Polynomial hash of values[start:end] for each pair, independent of where it stands."""
-        power, inverse = self.powers(len(values))
+        run = np.zeros(len(values) + 1, U)
+        run[1:] = values
+        return self._spans(run, starts, ends)
+
+    def byte_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same over the byte table's values of data."""
+        run = np.zeros(len(data) + 1, U)
+        np.take(self.table, data, out=run[1:])
+        return self._spans(run, starts, ends)
+
+    def _spans(self, run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        power, inverse = self.powers(len(run) - 1)
         with np.errstate(over="ignore"):
-            run = np.zeros(len(values) + 1, U)
-            np.cumsum(values * power[: len(values)], out=run[1:])
+            run[1:] *= power[: len(run) - 1]
+            np.cumsum(run, out=run)
             return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
@@ -85,8 +96,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 7, lower: bool = False) -> np.ndarray:
-        f = family(seed, lower)
-        return f.spans(f.table[self.data], self.starts, self.ends)
+        return family(seed, lower).byte_spans(self.data, self.starts, self.ends)
 
     def windows(self, k: int, hashes: np.ndarray, seed: int = 7, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words with the text index of each; short: a text of 1 to k - 1 words gives one."""

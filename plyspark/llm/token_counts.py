@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .textkernel import slices, text_column
-from .tokens import Generations, library
+from .tokens import Generations, WordTable, library, room
 
 END = "</w>"
 #: The tokenizer's own pattern of pieces, contractions aside (fixed by the vocabulary file).
@@ -181,16 +181,16 @@ class PrefixCounter:
             return [0] * (len(word) - 1) + [len(self.tokenizer.encode(word, add_special_tokens=False).ids)]
         return [len(e.ids) for e in self.tokenizer.encode_batch([word[: i + 1] for i in range(len(word))], add_special_tokens=False)]
 
-    def steps_of(self, words: list[bytes]) -> list[bytes]:
+    def steps_of(self, words: list[str]) -> list[bytes]:
         """Count differences of words as signed bytes; wider steps, which are rare, as 4 bytes each with a mark."""
         out = []
-        for c in self.counts_of([w.decode() for w in words]):
+        for c in self.counts_of(words):
             d = [c[0], *map(int.__sub__, c[1:], c[:-1])]
             out.append(np.array(d, "<i4").tobytes() + WIDE if max(d) > 127 or min(d) < -128 else bytes(x & 255 for x in d))
         return out
 
-    def totals_of(self, words: list[bytes]) -> list[int]:
-        return [c[-1] for c in self.counts_of([w.decode() for w in words])]
+    def totals_of(self, words: list[str]) -> list[int]:
+        return [c[-1] for c in self.counts_of(words)]
 
 
 def _steps(d: bytes) -> np.ndarray:
@@ -206,7 +206,7 @@ def table(c: PrefixCounter, text: str) -> bytes:
     """The text's table; one step beyond a signed byte makes it a table of 4-byte steps with the mark."""
     found = _LETTERS.findall(text)
     words = list({m for m in found if m[0] not in SPACES})
-    made = dict(zip(words, c.words.look_up([w.encode() for w in words], c.steps_of), strict=True))
+    made = dict(zip(words, c.words.look_up(words, c.steps_of), strict=True))
     parts = [bytes(len(m)) if m[0] in SPACES else made[m] for m in found]
     if any(p.endswith(WIDE) for p in parts):
         return np.concatenate([_steps(p) for p in parts]).astype("<i4").tobytes() + WIDE
@@ -235,15 +235,25 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
-        totals = c.words if with_table else Generations()
-        make = c.steps_of if with_table else c.totals_of
+        totals, used = np.zeros(1 << 14, np.int64), 0
+
+        def learn(words: list[str]) -> int:
+            nonlocal totals, used
+            totals = room(totals, used + len(words))
+            totals[used : used + len(words)] = c.totals_of(words)
+            used += len(words)
+            return used - len(words)
+
+        def clear() -> None:
+            nonlocal used
+            used = 0
+
+        known = WordTable(learn, clear)
         for batch in batches:
             column = text_column(batch.column(1))
             for low, high, words in slices(column):
-                kinds, inverse = words.distinct_words()
-                values = totals.look_up(kinds, make)
-                each = np.array([int(_steps(v).sum()) for v in values] if with_table else values, np.int64)
-                running = np.concatenate([[0], np.cumsum(each[inverse])]) if len(kinds) else np.zeros(1, np.int64)
+                slots = known.slots_of(words)
+                running = np.concatenate([[0], np.cumsum(totals[slots])]) if len(slots) else np.zeros(1, np.int64)
                 n = np.diff(running[words.first])
                 part = column.slice(low, high - low)
                 columns = {"doc_id": batch.column(0).slice(low, high - low), "n_bytes": pc.binary_length(part).cast(pa.int64()), "n_tokens": n, "over_limit": n > limit}

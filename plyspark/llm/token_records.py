@@ -39,6 +39,8 @@ MANIFEST = "part int, file string, n_records long, n_tokens long"
 INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8")])
 #: Records are framed in groups of about this many bytes.
 GROUP_BYTES = 4 << 20
+#: Texts are encoded in slices of about this many bytes: fewer slices ask for fewer distinct words.
+ENCODE_BYTES = 3 << 20
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -108,7 +110,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         out, encoder = None, Encoder(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for low, _, words in slices(batch.column(1)):
+            for low, _, words in slices(batch.column(1), ENCODE_BYTES):
                 ids, offsets = encoder.ids(words)
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], np.uint32(end_id))

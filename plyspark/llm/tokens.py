@@ -9,6 +9,7 @@ space, so they too stay inside one word.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -21,7 +22,10 @@ CACHE_WORDS = 700_000
 #: Longer words are worked out each time, not kept.
 CACHE_BYTES = 64
 #: Keeps words apart where many are encoded together; words that hold it are encoded alone.
-MARK, JOINED = b"\x01", 100
+MARK, JOINED = "\x01", 100
+#: Letters that have one-letter lower cases and no combining forms; marks that begin no contraction.
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 @lru_cache(maxsize=4)
@@ -41,7 +45,7 @@ class Generations:
     def __init__(self, limit: int = CACHE_WORDS):
         self.young, self.old, self.limit = {}, {}, limit
 
-    def look_up(self, words: list[bytes], make) -> list:
+    def look_up(self, words: list, make) -> list:
         """Values of the distinct words; make(list of missing words) gives theirs."""
         out = list(map(self.young.get, words))
         missing = [i for i, v in enumerate(out) if v is None]
@@ -61,42 +65,108 @@ class Generations:
         return out
 
 
+class WordTable:
+    """What is known of words, by the 64-bit hash of a word: sorted hashes, each with the slot of its values.
+
+    Looking up a slice is a merge of its distinct hashes with the known ones.  Of a million words, two share
+    a hash with a probability of about 1e-7.  A table that is full is emptied.
+    """
+
+    def __init__(self, learn, clear, limit: int = 2 * CACHE_WORDS):
+        """learn(words) appends their values, one slot each; clear() drops all values."""
+        self.learn, self.clear, self.limit = learn, clear, limit
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def slots_of(self, words: Words) -> np.ndarray:
+        """The slot of each word of the slice."""
+        found, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(found) > self.limit:
+            self.hashes, self.slots = self.hashes[:0], self.slots[:0]
+            self.clear()
+        at = np.searchsorted(self.hashes, found)
+        known = np.zeros(len(found), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == found[inside]
+        slots = np.zeros(len(found), np.int64)
+        slots[known] = self.slots[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = words.data.tobytes()
+            first = self.learn([data[a:b].decode() for a, b in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)])
+            slots[new] = first + np.arange(len(new))
+            self.hashes = np.insert(self.hashes, at[new], found[new])
+            self.slots = np.insert(self.slots, at[new], slots[new])
+        return slots[inverse]
+
+
 class Encoder:
     """Token ids of slices of texts."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memory = library(path), Generations()
-        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-
-    def _make(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; the library gets many words in one text, kept apart by a mark that is a token of its own."""
-        plain = [i for i, w in enumerate(words) if MARK not in w]
+        self.tokenizer, self.bases = library(path), Generations(CACHE_WORDS // 4)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.table = WordTable(self._learn, self._clear)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Ids of slot i stand in pool[begins[i] : begins[i + 1]]; both arrays have room to spare."""
+        self.pool, self.begins, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def _learn(self, words: list[str]) -> int:
+        made = self._make(words)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        first, used = self.known, int(self.begins[self.known])
+        self.begins = room(self.begins, first + len(made) + 1)
+        self.begins[first + 1 : first + len(made) + 1] = used + np.cumsum(sizes)
+        self.pool = room(self.pool, used + int(sizes.sum()))
+        self.pool[used : used + int(sizes.sum())] = np.frombuffer(b"".join(made), np.uint32)
+        self.known += len(made)
+        return first
+
+    def _make(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  Letters and the marks behind them are pieces of their own to this tokenizer, and
+        case is dropped, so most words are a base with marks; only bases that are not known are encoded."""
+        bases = [w.rstrip(MARKS) for w in words]
+        ends = [w[len(b) :] for w, b in zip(words, bases, strict=True)]
+        fits = [(b.isascii() and b.isalpha()) or LATIN.fullmatch(b) for b in bases]
+        bases = [b.lower() if ok else w for b, ok, w in zip(bases, fits, words, strict=True)]
+        ends = [e if ok else "" for e, ok in zip(ends, fits, strict=True)]
+        of_end = {e: self._encode([e])[0] if e else b"" for e in set(ends)}
+        kinds = list(set(bases))
+        known = dict(zip(kinds, self.bases.look_up(kinds, self._encode), strict=True))
+        return [known[b] + of_end[e] for b, e in zip(bases, ends, strict=True)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids by the library, which gets many words in one text, kept apart by a mark that is a token of its own."""
         out: list[bytes | None] = [None] * len(words)
-        joint = f" {MARK.decode()} "
+        plain = [i for i, w in enumerate(words) if MARK not in w]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for low in range(0, len(groups), 64):
             part = groups[low : low + 64]
-            texts = [joint.join(words[i].decode() for i in g) for g in part]
+            texts = [f" {MARK} ".join([words[i] for i in g]) for g in part]
             for group, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, np.uint32)
                 cuts = np.flatnonzero(ids == self.mark).tolist()
                 if len(cuts) != len(group) - 1:
                     raise ValueError("the mark met another word")
+                data = ids.tobytes()
                 for i, a, b in zip(group, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                    out[i] = ids[a:b].tobytes()
+                    out[i] = data[4 * a : 4 * b]
         for i, known in enumerate(out):
             if known is None:
-                out[i] = array("I", self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids).tobytes()
+                out[i] = array("I", self.tokenizer.encode(words[i], add_special_tokens=False).ids).tobytes()
         return out
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice, and the offsets of the texts in them."""
-        kinds, inverse = words.distinct_words()
-        values = self.memory.look_up(kinds, self._make)
-        pool = np.frombuffer(b"".join(values), np.uint32)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[inverse]
+        slots = self.table.slots_of(words)
+        begins = self.begins[slots]
+        counts = self.begins[slots + 1] - begins
         ends = np.cumsum(counts)
-        at = np.repeat(begins[inverse] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return pool[at], np.concatenate([[0], ends])[words.first]
+        at = np.repeat(begins - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.pool[at], np.concatenate([[0], ends])[words.first]
+
+
+def room(a: np.ndarray, size: int) -> np.ndarray:
+    """The array, at least `size` long, growing by half at a time."""
+    return a if len(a) >= size else np.concatenate([a, np.zeros(max(size, len(a) * 3 // 2) - len(a), a.dtype)])
