@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.board import Board, InvalidMove, replay, signed
 from ..session import importable
@@ -227,23 +229,20 @@ def to_pgn(game: dict, id_tag: str = "GameId") -> str:
     return "\n".join(lines) + "\n\n" + " ".join([*words, game["result"]]) + "\n"
 
 
+def _plain(name: str, value):
+    """A pandas cell as a plain value: missing numbers are NaN there, arrays numpy's."""
+    if value is None or (isinstance(value, float) and value != value):
+        return None
+    if name in ("moves", "tags"):
+        return [int(v) if name == "moves" else v for v in value]
+    return int(value) if name in ("id", "white_elo", "black_elo") else value
+
+
 def pgn_column(game: Column, id_tag: str = "GameId") -> Column:
     """`to_pgn` of a struct column."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def render(rows: pd.DataFrame) -> pd.Series:
-        def plain(v):
-            return None if v is None or (isinstance(v, float) and v != v) else v
-
-        out = []
-        for r in rows.to_dict("records"):
-            r = {k: plain(v) if not hasattr(v, "__len__") or isinstance(v, str) else list(v) for k, v in r.items()}
-            for k in ("white_elo", "black_elo"):
-                r[k] = int(r[k]) if r.get(k) is not None and r[k] == r[k] else None
-            r["moves"] = [int(m) for m in r.get("moves") or []]
-            out.append(to_pgn(r, id_tag))
-        return pd.Series(out, dtype=object)
+        return pd.Series([to_pgn({k: _plain(k, v) for k, v in r.items()}, id_tag) for r in rows.to_dict("records")], dtype=object)
 
     return render(game)
 

@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     from plyspark.session import importable, local_session
 
-    s = local_session(4, 4, "3g", {"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
+    s = local_session(4, 2, "3g", {"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
     s.sparkContext.setLogLevel("ERROR")
     importable(s)
     return s

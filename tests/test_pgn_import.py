@@ -127,3 +127,17 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     write(folder / "b.pgn", THREE + game(white="New"))
     second = run_import(*args)
     assert (second.attempted, second.committed, second.skipped) == (4, 1, 3)
+
+
+def test_checkpoint_file(tmp_path):
+    from plyspark.sources import checkpoint as c
+
+    assert c.read(str(tmp_path)) is None
+    c.write(str(tmp_path), c.Checkpoint("a.pgn", 10, 2, 7))
+    assert c.read(str(tmp_path)) == c.Checkpoint("a.pgn", 10, 2, 7)
+    (tmp_path / c.NAME).write_text("[]")
+    with pytest.raises(ValueError):
+        c.read(str(tmp_path))
+    c.delete(str(tmp_path))
+    c.delete(str(tmp_path))
+    assert c.read(str(tmp_path)) is None

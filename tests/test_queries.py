@@ -1,7 +1,9 @@
 import pytest
 from conftest import assert_matches, duck
 
-from plyspark.plans.queries import ORACLE_SQL, QUERIES
+from plyspark.plans import kernel_queries, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | kernel_queries.QUERIES, queries.ORACLE_SQL | kernel_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
