@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import find_tag, parse_elo, position_rows, positions_of, result_number
@@ -111,6 +111,14 @@ def rebuild_positions(bundle: Bundle) -> None:
     bundle.commit(replace={"position": position_rows(game)}, position_index_dirty=False)
 
 
+def open_bundle(spark: SparkSession, path: str) -> Bundle:
+    """Opens a bundle; one whose positions are marked as out of date gets them rebuilt first."""
+    bundle = Bundle.open(spark, path)
+    if bundle.manifest["position_index_dirty"]:
+        rebuild_positions(bundle)
+    return bundle
+
+
 def delete_games(bundle: Bundle, ids: list[int], only_manual: bool = False) -> int:
     """Removes games with their tags and positions; returns how many there were."""
     found = bundle.table("game").where(F.col("id").isin(*ids))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from plyspark.functions.board import Board, signed
-from plyspark.plans.ingest import delete_games, import_pgn, rebuild_positions
+from plyspark.plans.ingest import delete_games, import_pgn, open_bundle, rebuild_positions
 from plyspark.sources.bundle import Bundle
 from plyspark.sources.pgn import count_events, parse_game, parse_one, read_pgn, split_games, to_pgn
 from plyspark.streaming.imports import run_import
@@ -141,3 +141,10 @@ def test_checkpoint_file(tmp_path):
     c.delete(str(tmp_path))
     c.delete(str(tmp_path))
     assert c.read(str(tmp_path)) is None
+
+
+def test_dirty_bundle_is_rebuilt(spark, bundle, tmp_path):
+    import_pgn(bundle, write(tmp_path / "t.pgn", THREE))
+    bundle.commit(replace={"position": bundle.table("position").limit(1)}, position_index_dirty=True)
+    assert open_bundle(spark, bundle.path).table("position").count() == 16
+    assert not Bundle.open(spark, bundle.path).manifest["position_index_dirty"]
