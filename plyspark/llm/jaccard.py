@@ -1,7 +1,7 @@
 """N-gram Jaccard join: links texts whose five-word shingle sets have a resemblance of 0.75 or more.
 
-Equal sets are one class.  A class's point is its count vector: shingles hashed into GROUPS groups, the
-number in each.  The sum of two points' smaller coordinates bounds the overlap from above; an R-tree over
+Equal sets are one class.  A class's point is its count vector: shingles hashed into groups (GROUPS, or more
+for large sets), the number in each.  The sum of two points' smaller coordinates bounds the overlap from above; an R-tree over
 points bounds whole boxes by their largest coordinates.
 
 One tree over all points would not be distributed, and in so many dimensions its boxes overlap; so points
@@ -11,7 +11,8 @@ size that only orders and never decides.  So a passage in a third of all documen
 unless the document is little else.  Each prefix shingle's classes are one small collection of points.
 
 Then two rounds find every component.  The first verifies each collection's classes against its first
-class.  The second takes the collections that still hold more than one component, builds their R-trees,
+class and the next few in one order of all classes, so that near copies, whose collections have much the
+same members, meet much the same few.  The second takes the collections that still hold more than one component, builds their R-trees,
 and verifies each pair of different components whose bound allows a link.  Pairs that share a component
 add nothing and are not expanded, so a group of near copies costs its size, not its square.  Collections
 of over BLOCK classes are joined block by block.
@@ -43,6 +44,8 @@ GROUPS = 256
 SLOTS, CHUNKS = 1 << 20, 32
 #: Points of one block of a large collection, and of one leaf of a tree.
 BLOCK, LEAF = 4096, 32
+#: Beside the first class of its collection, a class meets so many that follow it in one order of all classes.
+AHEAD = 3
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,15 +60,28 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def points(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Count vectors: a byte for each group, or four where a count exceeds a byte."""
-    n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.bincount(text * GROUPS + (values & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
-    return [row.astype(np.uint8 if row.max(initial=0) < 256 else "<u4").tobytes() for row in counts]
+    """Count vectors, two bytes a group: GROUPS groups, or as many (a power of two) as a quarter of the set's size
+    asks for, so that chance overlaps of large sets are bounded as well as those of small ones."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        groups = max(GROUPS, 1 << ((b - a) // 4).bit_length())
+        counts = np.bincount((values[a:b] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        out.append(counts.astype("<u2").tobytes())
+    return out
 
 
 def point(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, np.uint8 if len(stored) == GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(stored, "<u2").astype(np.int32)
+
+
+def folded(at: np.ndarray, groups: int) -> np.ndarray:
+    """A point, or rows of points, with only so many groups: groups that share their low bits are summed."""
+    return at if at.shape[-1] == groups else at.reshape(*at.shape[:-1], -1, groups).sum(-2)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 def need(na, nb):
@@ -169,13 +185,26 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs = own if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == rows[0][2]]
         if not own or not theirs:
             return
-        trees = [Tree(np.stack([point(r[7]) for r in side]), np.array([r[6] for r in side], np.int64)) for side in ([own] if own is theirs else [own, theirs])]
-        a, b = trees[0], trees[-1]
-        node = [np.array([r[4] for r in side]) for side in (own, theirs)]
-        comp = [np.array([r[5] for r in side]) for side in (own, theirs)]
-        for x, y in a.pairs(b):
-            keep = (comp[0][x] != comp[1][y]) & ((node[0][x] < node[1][y]) if own is theirs else True)
-            yield from zip(np.minimum(node[0][x], node[1][y])[keep].tolist(), np.maximum(node[0][x], node[1][y])[keep].tolist())
+        sides = [_by_groups(own), _by_groups(theirs)]
+        for x_groups, x in sides[0].items():
+            for y_groups, y in sides[1].items():
+                # Sets of linked sizes have as many groups, or half or twice as many.
+                if (own is theirs and y_groups < x_groups) or not x_groups <= 2 * y_groups <= 4 * x_groups:
+                    continue
+                same = own is theirs and x_groups == y_groups
+                groups = min(x_groups, y_groups)
+                a = Tree(folded(x[0], groups), x[1])
+                b = a if same else Tree(folded(y[0], groups), y[1])
+                for i, j in a.pairs(b):
+                    keep = x[3][i] != y[3][j]
+                    if same:
+                        keep &= x[2][i] < y[2][j]
+                    # A pair that meets in several collections counts in the first of them only.
+                    for k in np.flatnonzero(keep).tolist():
+                        mine, theirs_ = x[4][i[k]], y[4][j[k]]
+                        keep[k] = np.intersect1d(mine, theirs_, assume_unique=True)[0] == rows[0][0]
+                    low, high = np.minimum(x[2][i], y[2][j])[keep], np.maximum(x[2][i], y[2][j])[keep]
+                    yield from zip(low.tolist(), high.tolist())
 
     rows, key, out = [], None, []
     for batch in batches:
@@ -194,6 +223,14 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(out)
 
 
+def _by_groups(rows: list[tuple]) -> dict[int, tuple]:
+    """Points, sizes, nodes, components and collections of the rows, by their number of groups."""
+    kinds: dict[int, list[tuple]] = {}
+    for r in rows:
+        kinds.setdefault(len(r[7]) // 2, []).append(r)
+    return {k: (np.stack([point(r[7]) for r in rs]), *(np.array([r[c] for r in rs], np.int64) for c in (6, 4, 5)), [np.array(r[8], np.int64) for r in rs]) for k, rs in kinds.items()}
+
+
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     both = sorted(set(pairs))
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64())], names=["a", "b"])
@@ -202,7 +239,7 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, na, nb, pa_, pb = (c.to_pylist() for c in batch.columns)
-        keep = [i for i in range(len(a)) if int(np.minimum(point(pa_[i]), point(pb[i])).sum()) >= need(na[i], nb[i])]
+        keep = [i for i in range(len(a)) if bound(point(pa_[i]), point(pb[i])) >= need(na[i], nb[i])]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
@@ -252,10 +289,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sig = W.partitionBy("sig")
     dealt = prefixes(docs, count_table(rows)).withColumn("first", F.min("c1").over(sig)).withColumn("last", F.max("c1").over(sig))
-    shared = written(dealt.where("first < last").select("sig", "c1", "first").distinct(), "prefixes")
+    shared = dealt.where("first < last").select("sig", "c1", "first").distinct()  # as dealt out: no new shuffle
+    ahead = W.partitionBy("sig").orderBy("c1")
+    shared = shared.withColumns({f"next{k}": F.lead("c1", k).over(ahead) for k in range(1, AHEAD + 1)} | {"size": F.count("*").over(sig)})
+    shared = written(shared, "prefixes")
 
     brief = classes.select("c1", "node", "n")
-    ends = shared.where("c1 <> first").select("c1", "first").distinct()
+    partners = F.array_distinct(F.array_compact(F.array("first", *[f"next{k}" for k in range(1, AHEAD + 1)])))
+    ends = shared.select("c1", F.explode(partners).alias("first")).where("c1 <> first")
+    ends = ends.select(F.least("c1", "first").alias("c1"), F.greatest("c1", "first").alias("first")).distinct()
     sized = ends.join(brief, "c1").join(brief.select(F.col("c1").alias("first"), F.col("node").alias("node2"), F.col("n").alias("n2")), "first")
     sized = sized.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * PERCENT)
     sized = sized.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
@@ -266,13 +308,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(pairs, docs, classes)
     found = written(components(links), "components")
 
-    left = shared.join(brief.select("c1", "node"), "c1").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    # Of AHEAD + 2 classes or fewer, every pair is verified.
+    left = shared.where(F.col("size") > AHEAD + 2).select("sig", "c1").join(brief.select("c1", "node"), "c1").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    left = left.select("sig", "node", "comp").repartition("sig").distinct()
     left = left.withColumn("size", F.count("*").over(sig)).withColumn("least", F.min("comp").over(sig)).withColumn("most", F.max("comp").over(sig))
-    left = left.where("size > 2 and least < most")  # of two, the one pair is verified
+    left = left.where("least < most")
     left = left.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     met = left.withColumn("with", F.explode(F.expr("sequence(0, nb - 1)")))
-    met = met.join(classes.select("node", "n", "point"), "node")
-    met = met.select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp", "n", "point")
+    own = left.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    met = met.join(classes.select("node", "n", "point"), "node").join(own, "node")
+    met = met.select("sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp", "n", "point", "sigs")
     crossed = met.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross_pairs, "a long, b long").distinct()
     more = written(crossed.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
