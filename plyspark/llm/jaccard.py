@@ -12,10 +12,11 @@ unless the document is little else.  Each prefix shingle's classes are one small
 
 Then two rounds find every component.  The first verifies each collection's classes against its first
 class and the next few in one order of all classes, so that near copies, whose collections have much the
-same members, meet much the same few.  The second takes the collections that still hold more than one component, builds their R-trees,
-and verifies each pair of different components whose bound allows a link.  Pairs that share a component
-add nothing and are not expanded, so a group of near copies costs its size, not its square.  Collections
-of over BLOCK classes are joined block by block.
+same members, meet much the same few.  The second merges the collections that have one first class, takes
+those that still hold more than one component, builds their R-trees, and verifies each pair of different
+components whose bound allows a link.  Pairs that share a component add nothing and are not expanded, so a
+group of near copies that link costs its size, not its square.  Collections of over BLOCK classes are
+joined block by block.
 
 Defined results: texts without words have an empty set, linked with nothing; texts of one to four words
 have their sequence as one shingle; a null id is a row of its own class; rows with equal ids and texts
@@ -308,9 +309,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(pairs, docs, classes)
     found = written(components(links), "components")
 
-    # Of AHEAD + 2 classes or fewer, every pair is verified.
-    left = shared.where(F.col("size") > AHEAD + 2).select("sig", "c1").join(brief.select("c1", "node"), "c1").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    left = left.select("sig", "node", "comp").repartition("sig").distinct()
+    # Of AHEAD + 2 classes or fewer, every pair is verified.  The others are merged by their first class, as the
+    # many shingles that near copies share have much the same classes: a class goes to each merged collection once.
+    left = shared.where(F.col("size") > AHEAD + 2).select(F.col("first").alias("sig"), "c1").repartition("sig").distinct()
+    left = left.join(brief.select("c1", "node"), "c1").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    left = left.select("sig", "node", "comp")
     left = left.withColumn("size", F.count("*").over(sig)).withColumn("least", F.min("comp").over(sig)).withColumn("most", F.max("comp").over(sig))
     left = left.where("least < most")
     left = left.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
