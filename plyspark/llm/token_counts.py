@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .textkernel import slices, text_column
-from .tokens import Generations, WordTable, library, room
+from .tokens import LETTER, Generations, WordTable, library, room
 
 END = "</w>"
 #: The tokenizer's own pattern of pieces, contractions aside (fixed by the vocabulary file).
@@ -46,16 +46,6 @@ WIDE = b"\0wide"  # no table of signed bytes ends so: a step of 119 cannot follo
 _LETTERS = re.compile(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
 
-def _byte_letters() -> list[str]:
-    """The usual byte-level alphabet: printable Latin-1 bytes stand for themselves, others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-LETTER = _byte_letters()
-
-
 class PrefixCounter:
     """Prefix counts for one vocabulary file."""
 

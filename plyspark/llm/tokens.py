@@ -28,6 +28,17 @@ LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
+def _byte_letters() -> list[str]:
+    """The usual byte-level alphabet: printable Latin-1 bytes stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+LETTER = _byte_letters()
+_MAPPED = dict(enumerate(LETTER))
+
+
 @lru_cache(maxsize=4)
 def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,7 +90,14 @@ class WordTable:
 
     def slots_of(self, words: Words) -> np.ndarray:
         """The slot of each word of the slice."""
-        found, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        hashes = words.hashes()
+        order = np.argsort(hashes)
+        found = hashes[order]
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        inverse = np.empty(len(found), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        found, where = found[new], order[new]
         if len(self.hashes) + len(found) > self.limit:
             self.hashes, self.slots = self.hashes[:0], self.slots[:0]
             self.clear()
@@ -103,8 +121,9 @@ class Encoder:
     """Token ids of slices of texts."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.bases = library(path), Generations(CACHE_WORDS // 4)
+        self.tokenizer, self.bases = library(path), Generations(CACHE_WORDS // 2)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
         self.table = WordTable(self._learn, self._clear)
         self._clear()
 
@@ -124,17 +143,26 @@ class Encoder:
         return first
 
     def _make(self, words: list[str]) -> list[bytes]:
-        """Ids of each word.  Letters and the marks behind them are pieces of their own to this tokenizer, and
-        case is dropped, so most words are a base with marks; only bases that are not known are encoded."""
+        """Ids of each word.  Letters and the marks behind them are pieces of their own to this tokenizer, and case is
+        dropped, so most words are a base with marks.  A base goes to the library's model as the one piece it is;
+        words that are none go through the whole library."""
         bases = [w.rstrip(MARKS) for w in words]
         ends = [w[len(b) :] for w, b in zip(words, bases, strict=True)]
-        fits = [(b.isascii() and b.isalpha()) or LATIN.fullmatch(b) for b in bases]
-        bases = [b.lower() if ok else w for b, ok, w in zip(bases, fits, words, strict=True)]
-        ends = [e if ok else "" for e, ok in zip(ends, fits, strict=True)]
+        bases = [b.lower() if (b.isascii() and b.isalpha()) or LATIN.fullmatch(b) else None for b in bases]
+        kinds = list(set(bases) - {None})
+        known = dict(zip(kinds, self.bases.look_up(kinds, self._pieces), strict=True))
         of_end = {e: self._encode([e])[0] if e else b"" for e in set(ends)}
-        kinds = list(set(bases))
-        known = dict(zip(kinds, self.bases.look_up(kinds, self._encode), strict=True))
-        return [known[b] + of_end[e] for b, e in zip(bases, ends, strict=True)]
+        out = [known[b] + of_end[e] if b else None for b, e in zip(bases, ends, strict=True)]
+        odd = [i for i, b in enumerate(bases) if b is None]
+        for i, ids in zip(odd, self._encode([words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    def _pieces(self, bases: list[str]) -> list[bytes]:
+        """Ids of pieces of lower-case letters, by the library's model."""
+        tokenize = self.model.tokenize
+        mapped = [b if b.isascii() else b.encode().decode("latin-1").translate(_MAPPED) for b in bases]
+        return [array("I", [t.id for t in tokenize(m)]).tobytes() for m in mapped]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids by the library, which gets many words in one text, kept apart by a mark that is a token of its own."""
