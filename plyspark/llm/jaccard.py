@@ -311,11 +311,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Of AHEAD + 2 classes or fewer, every pair is verified.  The others are merged by their first class, as the
     # many shingles that near copies share have much the same classes: a class goes to each merged collection once.
-    left = shared.where(F.col("size") > AHEAD + 2).select(F.col("first").alias("sig"), "c1").repartition("sig").distinct()
+    left = shared.where(F.col("size") > AHEAD + 2).select(F.col("first").alias("sig"), "c1").distinct()
     left = left.join(brief.select("c1", "node"), "c1").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     left = left.select("sig", "node", "comp")
-    left = left.withColumn("size", F.count("*").over(sig)).withColumn("least", F.min("comp").over(sig)).withColumn("most", F.max("comp").over(sig))
-    left = left.where("least < most")
+    open_ = left.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    left = left.join(open_.where("least < most").drop("least", "most"), "sig")
     left = left.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     met = left.withColumn("with", F.explode(F.expr("sequence(0, nb - 1)")))
     own = left.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
