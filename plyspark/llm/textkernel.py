@@ -19,7 +19,7 @@ U = np.uint64
 SEP = np.zeros(256, bool)
 SEP[[32, *range(9, 14)]] = True
 #: Texts are hashed in slices of about this many bytes (one longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8")])
 #: Records are framed in groups of about this many bytes.
 GROUP_BYTES = 4 << 20
 #: Texts are encoded in slices of about this many bytes: fewer slices ask for fewer distinct words.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = 2 << 20
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
