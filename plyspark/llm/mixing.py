@@ -5,8 +5,9 @@ A source's documents lie on a line in an order drawn from a hash of their ids, o
 source after another; a document is taken once for each pass whose middle of it lies below the
 target.  Training time runs from 0 to 1.  Each source's weight follows a schedule over time; its
 integral is the cumulative token demand, and a document taken at offset x of target y stands at the
-time when that integral has reached x / y.  Ordering all taken documents by that time mixes the
-sources as the schedules ask at every moment.
+time when that integral has reached x / y.  A later taking has an offset of its own, a source's size
+further on, and so a later time.  Ordering all takings by their times mixes the sources as the schedules
+ask at every moment.
 
 Offsets are prefix sums in two levels: sums of (source, hash bucket), then rows within a bucket, so
 a source with a third of all rows is spread over BUCKETS groups.
@@ -87,31 +88,37 @@ def placed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float =
     middle = F.col("start") + F.col("size") / F.lit(2.0)
     passes = [(F.lit(p) * F.col("source_size") + middle < F.col("target")) & (F.col("size") > 0) for p in range(int(-(-most // 1)))]
     rows = rows.withColumn("copies", sum((p.cast("int") for p in passes[1:]), passes[0].cast("int")))
-    share = F.col("start") / F.col("target")
-    position = None
-    for i, knots in enumerate(schedules):
-        here = (F.col("sid") - 1) % len(schedules) == i
-        position = F.when(here, time_of(share, knots)) if position is None else position.when(here, time_of(share, knots))
-    rows = rows.withColumn("position", F.when(F.col("copies") > 0, position))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "position", "copies", "key")
+    positions = []
+    for p in range(len(passes)):
+        share = (F.lit(p) * F.col("source_size") + F.col("start")) / F.col("target")
+        position = None
+        for i, knots in enumerate(schedules):
+            here = (F.col("sid") - 1) % len(schedules) == i
+            position = F.when(here, time_of(share, knots)) if position is None else position.when(here, time_of(share, knots))
+        positions.append(position)
+    rows = rows.withColumn("position", F.when(F.col("copies") > 0, positions[0])).withColumn("positions", F.slice(F.array(*positions), F.lit(1), F.col("copies")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "position", "positions", "copies", "key")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document, range-sorted by position: doc_id, size, source_size, target, taken (words the
-    mix takes, repeats counted), position (time of the first taking; null if not taken), copies and key."""
+    mix takes, repeats counted), position (time of the first taking; null if not taken), positions (times of
+    all takings, ascending; empty if not taken), copies and key."""
     return placed(docs, **options).repartitionByRange("position", "key", "doc_id").sortWithinPartitions("position", "key", "doc_id")
 
 
-def taken_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with all their columns.
+def taken_documents(docs: DataFrame, id_col: str = "doc_id", position_col: str | None = None, **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with all their columns; range-sorted
+    by the positions of the takings, which stand in `position_col` if one is asked for.
 
-    The number of takings goes to each document by its id; rows that share an id share the number of the
-    one with most.  Documents travel once, to join their number.
+    Positions go to each document by its id; rows that share an id share those of the one with most.
     """
-    copies = placed(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return joined.withColumn("_pass", again).select(*[F.col(c) for c in docs.columns])
+    takings = placed(docs, id_col=id_col, **options).where("copies > 0")
+    most = takings.groupBy("doc_id").agg(F.max(F.struct("copies", "positions", "key")).alias("_most")).select(F.col("doc_id").alias("_id"), F.col("_most.positions").alias("_positions"), F.col("_most.key").alias("_key"))
+    joined = docs.join(most, F.col(id_col).eqNullSafe(F.col("_id")))
+    order = ["_position", "_key", "_id"]
+    rows = joined.withColumn("_position", F.explode("_positions")).drop("_positions").repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select(*[F.col(c) for c in docs.columns], *([F.col("_position").alias(position_col)] if position_col else []))
 
 
 #: The query in DuckDB: the same order of documents, and water-filling in closed form.

@@ -230,6 +230,22 @@ def test_curriculum_puts_early_sources_first(spark):
     assert means[0] < 0.45 < means[1] < 0.55 < means[2]
 
 
+def test_every_taking_has_its_position(spark):
+    """A source taken twice fills its whole schedule, and documents come in the order of their takings."""
+    texts = ["a b c"] * 600
+    rows = spark.createDataFrame([(i, t, f"s{int(i >= 100)}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    options = dict(weights=(1, 1), total=1.0, schedules=(((0.0, 1.0), (1.0, 1.0)),))
+    placed = {r.doc_id: r for r in mix(rows, **options).collect()}
+    assert all(len(r.positions) == r.copies and list(r.positions) == sorted(r.positions) and r.position == (r.positions or [None])[0] for r in placed.values())
+    assert all(placed[i].copies == 2 and placed[i].positions[1] == pytest.approx(placed[i].position + 0.5) for i in range(100))
+    got = taken_documents(rows, position_col="at", **options).collect()
+    assert sorted((r.doc_id, r["at"]) for r in got) == sorted((i, p) for i, r in placed.items() for p in r.positions)
+    assert [r["at"] for r in got] == sorted(r["at"] for r in got)
+    twice = [r["at"] for r in got if r.doc_id < 100]
+    assert [sum(q / 4 <= t < (q + 1) / 4 for t in twice) for q in range(4)] == [50] * 4
+    assert [r.doc_id for r in taken_documents(rows, **options).collect()] == [r.doc_id for r in got]
+
+
 def test_pii(spark):
     texts = {
         1: "Mail Bob.x1@Mail7.example.com or bob.x1@mail7.example.com, call +1 (383) 555-6083 or 383-555-6083.",
