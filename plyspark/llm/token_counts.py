@@ -12,8 +12,12 @@ point): its running sum is the number of tokens of each prefix, as the library w
 prefix alone.  Tables of words are made once and joined; no text is encoded twice for a question.
 
 Words that the rule does not fit (characters that change length when normalised, contractions,
-special strings, control characters) get their counts from the library, prefix by prefix; within
-such a word of over 512 characters only the whole word's count is exact.
+special strings, control characters) get their counts from the library, prefix by prefix.  Such a
+word of over 512 characters is first cut where the tokenizer always cuts, whatever follows: at white
+space, digits, between letters and marks, where no combining character joins what stands before.  Each
+chunk goes by the rule or, if short, to the library; long runs of letters that change when normalised
+go through the same pass with their normalised prefixes.  What is left (a long run that is neither, such
+as thousands of combining marks behind one letter) takes time with the square of its length.
 """
 
 from __future__ import annotations
@@ -43,15 +47,90 @@ ODD = regex.compile(r"[\p{M}\p{C}\p{Z}\u03a3\u0130\u212a]|<\|")
 ODD_CHARS = 512
 SPACES = " \t\n\v\f\r"
 WIDE = b"\0wide"  # no table of signed bytes ends so: a step of 119 cannot follow 0 by a single character
+WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 _LETTERS = re.compile(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
 
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that normalising may join with what stands before them, combining marks aside."""
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+    found = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(found | {chr(i) for i in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})
+
+
+@lru_cache(maxsize=1 << 16)
+def _begins(c: str) -> bool:
+    """Whether what stands before c never changes what c and its followers are normalised to."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(first) and first not in _seconds()
+
+
+@lru_cache(maxsize=1 << 16)
+def _normal(s: str) -> str:
+    """As the tokenizer normalises, which lowers each character by itself."""
+    return "".join([c.lower() for c in unicodedata.normalize("NFC", s)])
+
+
+@lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> str:
+    """S: space, L: letter, N: number, P: another, ?: one that Unicode versions may see differently."""
+    if c in WHITE:
+        return "S"
+    k = unicodedata.category(c)
+    return k[0] if k[0] in "LN" else "?" if k in ("Cn", "Co", "Cs") else "P"
+
+
+def _segments(text: str) -> list[str]:
+    at = [0, *(i for i in range(1, len(text)) if _begins(text[i])), len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def chunks(text: str) -> list[str]:
+    """The text, cut where the tokens of every longer prefix are those before the cut and those after it.
+
+    The text holds no special string.  A lone ' before letters may begin a contraction, which is then cut
+    behind, not within.
+    """
+    segments = _segments(text)
+    normal = list(map(_normal, segments))
+    out, low, forced = [], 0, -1
+    for i in range(1, len(segments)):
+        before, after, bare = _kind(normal[i - 1][-1]), _kind(normal[i][0]), _kind(_normal(segments[i][0])[0])
+        if i == forced or before in "SN" or (after == bare and after in "SN"):
+            cut = True
+        elif after != bare or "?" in (before, after) or before == after:
+            cut = False
+        elif before == "P" and normal[i - 1][-1] == "'":
+            earlier = (normal[i - 2] if i > 1 else "") + normal[i - 1][:-1]
+            cut = False
+            if earlier and _kind(earlier[-1]) == "P":
+                cut = True  # the mark belongs to a run of marks
+            elif not earlier or _kind(earlier[-1]) != "?":
+                first, one = _normal(segments[i][0])[0], len(segments[i]) == 1
+                second = _normal(segments[i + 1][0])[0] if one and i + 1 < len(segments) else ""
+                if first in "stmd":
+                    forced = i + 1 if one else forced
+                elif first + second in ("re", "ve", "ll"):
+                    forced = i + 2 if len(segments[i + 1]) == 1 else forced
+                else:
+                    cut = True
+        else:
+            cut = True
+        if cut:
+            out.append("".join(segments[low:i]))
+            low = i
+    return [*out, "".join(segments[low:])] if text else []
+
+
 class PrefixCounter:
     """Prefix counts for one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
         if model["end_of_word_suffix"] != END or model["continuing_subword_prefix"]:
             raise ValueError("this counter is for BPE with an end-of-word mark")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -73,6 +152,7 @@ class PrefixCounter:
         self.tables: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], []
         self.pieces = Generations(300_000)
         self.words = Generations(300_000)
+        self.chunks = Generations(300_000)
 
     def _holds(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay apart when their letters are merged anew.
@@ -104,7 +184,6 @@ class PrefixCounter:
 
         What the last piece and this one begin with in common is taken over from its tables.
         """
-        n, holds, numbers = len(letters), self._holds, self.numbers.get
         was, last, count, out = self.tables
         same = 0
         for x, y in zip(was, letters):
@@ -112,7 +191,14 @@ class PrefixCounter:
                 break
             same += 1
         last, count, out = last[: same + 1], count[: same + 1], out[:same]
-        for i in range(same + 1, n + 1):
+        self._extend(letters, last, count, out)
+        self.tables = letters, last, count, out
+        return out
+
+    def _extend(self, letters: str, last: list[int], count: list[int], out: list[int]) -> None:
+        """Carries the tables of a prefix of the letters on to all of them."""
+        holds, numbers = self._holds, self.numbers.get
+        for i in range(len(out) + 1, len(letters) + 1):
             goes = ends = token = 0
             for j in range(max(0, i - self.longest), i):
                 t = numbers(letters[j:i])
@@ -128,11 +214,9 @@ class PrefixCounter:
             last.append(token)
             count.append(goes)
             out.append(ends)
-        self.tables = letters, last, count, out
-        return out
 
     def _piece(self, piece: str) -> list[int]:
-        if piece.isascii():
+        if piece.isascii() and piece.isprintable():
             return self.piece(piece)
         raw = piece.encode()
         made = self.piece("".join(map(LETTER.__getitem__, raw)))
@@ -168,9 +252,57 @@ class PrefixCounter:
 
     def _by_library(self, word: str) -> list[int]:
         if len(word) > ODD_CHARS:
-            return [0] * (len(word) - 1) + [len(self.tokenizer.encode(word, add_special_tokens=False).ids)]
+            return self._long(word)
+        return self._prefixes(word)
+
+    def _prefixes(self, word: str) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch([word[: i + 1] for i in range(len(word))], add_special_tokens=False)]
 
+    def _long(self, word: str) -> list[int]:
+        """Special strings count from their last character on; up to it they are as any other text."""
+        out, before, low = [], 0, 0
+        for m in self.special.finditer(word):
+            part = self._plain(word[low : m.end() - 1])
+            whole = (part[m.start() - low - 1] if m.start() > low else 0) + 1
+            out += [before + n for n in [*part, whole]]
+            before, low = before + whole, m.end()
+        return out + [before + n for n in self._plain(word[low:])]
+
+    def _plain(self, text: str) -> list[int]:
+        parts = chunks(text)
+        kinds = list(dict.fromkeys(parts))
+        return self._run(parts, dict(zip(kinds, self.chunks.look_up(kinds, lambda cs: list(map(self._chunk, cs))), strict=True)))
+
+    def _chunk(self, chunk: str) -> list[int]:
+        pieces = None if any(_kind(c) == "?" for c in chunk) else self.split(chunk)
+        if pieces is not None:
+            return self._run(pieces, {p: self._piece(p) for p in pieces})
+        if len(chunk) <= ODD_CHARS:
+            return self._prefixes(chunk)
+        segments = _segments(chunk)
+        normal = "".join(map(_normal, segments))
+        kinds = list(map(_kind, normal))
+        if len(normal) == len(chunk) and unicodedata.is_normalized("NFC", chunk) and "'" not in chunk and set(kinds) <= {"L", "P"}:
+            at = [0, *(i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1]), len(kinds)]
+            runs = [normal[a:b] for a, b in zip(at, at[1:])]
+            return self._run(runs, {r: self._piece(r) for r in runs})
+        if set(kinds) == {"L"} and all(_kind(x) == "L" for s in segments for r in range(1, len(s)) for x in _normal(s[:r])):
+            return self._changing(segments)
+        return self._prefixes(chunk)
+
+    def _changing(self, segments: list[str]) -> list[int]:
+        """Counts within one run of letters whose segments change as they grow."""
+        done, last, count, out, found = "", [-1], [0], [], []
+        for s in segments:
+            n = len(done)
+            for r in range(1, len(s) + 1):
+                del last[n + 1 :], count[n + 1 :], out[n:]
+                letters = done + "".join(map(LETTER.__getitem__, _normal(s[:r]).encode()))
+                self._extend(letters, last, count, out)
+                found.append(out[-1])
+            done = letters
+        return found
+
     def steps_of(self, words: list[str]) -> list[bytes]:
         """Count differences of words as signed bytes; wider steps, which are rare, as 4 bytes each with a mark."""
         out = []

@@ -60,6 +60,29 @@ def test_every_prefix_count(t):
         assert tc.prefix_within(stored, budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
+@pytest.mark.parametrize(
+    "t",
+    [
+        "ภาษาไทยที่ไม่มีช่องว่าง" * 30, "one\xa0two\u3000three's " .strip() * 40, "zero\u200bwidth" * 60, "e\u0301a" * 200, "\u1112\u1161\u11ab" * 190, "İxΣ" * 180, "é" * 600 + "'s",
+        "!" * 600 + "<|endoftext|>\u0338a's<|endof", "a'" + "re\u0301s'd't!'s" * 70, "क्षत्रिय" * 70, "\u0300" * 600 + "b", "x\u0323\u0323" * 200, "1\u0301'll2've" * 60, "\x01\x1c" * 300 + "'m",
+    ],
+)
+def test_long_odd_words_have_every_prefix_count(t):
+    assert len(t) > tc.ODD_CHARS
+    library = tokens.library(VOCABULARY)
+    want = [len(e.ids) for e in library.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+    stored = tc.table(tc.counter(VOCABULARY), t)
+    assert [tc.tokens_of_prefix(stored, k) for k in range(len(t) + 1)] == want
+    assert all(tc.prefix_within(stored, n) == max(k for k, m in enumerate(want) if m <= n) for n in (0, want[-1] // 2, want[-1] - 1))
+
+
+@given(st.lists(st.sampled_from([*"abstremvld''!<|>1İΣKő́\u0301\u0338\u0323\u200b\xa0\u3000", "ก", "ี", "่", "\u1112", "\u1161", "\u11ab", "<|endoftext|>", "\x01", "\u09c7", "\u09be"]), min_size=1, max_size=40).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_cut_words_have_every_prefix_count(t):
+    library = tokens.library(VOCABULARY)
+    assert tc.counter(VOCABULARY)._long(t) == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(1, len(t) + 1)]
+
+
 def test_full_memories_give_the_same(monkeypatch):
     library = tokens.library(VOCABULARY)
     encoder = tokens.Encoder(VOCABULARY)
