@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .textkernel import slices, text_column
+from .textkernel import SEP, Words, slices, text_column
 from .tokens import LETTER, Generations, WordTable, library, room
 
 END = "</w>"
@@ -45,6 +46,8 @@ PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 ODD = regex.compile(r"[\p{M}\p{C}\p{Z}\u03a3\u0130\u212a]|<\|")
 ODD_CHARS = 512
+#: Steps of words that a worker remembers, in characters; beyond, it begins anew.
+POOL_BYTES = 64 << 20
 SPACES = " \t\n\v\f\r"
 WIDE = b"\0wide"  # no table of signed bytes ends so: a step of 119 cannot follow 0 by a single character
 WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -346,6 +349,59 @@ def prefix_within(stored: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
+class _Tables:
+    """Tables of the texts of slices, put together from the steps of their distinct words."""
+
+    def __init__(self, c: PrefixCounter):
+        self.counter, self.known = c, WordTable(self._learn, self._clear)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Steps of slot i stand in pool[begins[i] : begins[i + 1]]; both arrays have room to spare."""
+        self.pool, self.begins, self.wide, self.used = np.zeros(1 << 16, np.int8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), 0
+
+    def _learn(self, words: list[str]) -> int:
+        counts = self.counter.counts_of(words)
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+        steps = np.fromiter(chain.from_iterable(counts), np.int32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        firsts = steps[starts]
+        steps[1:] -= steps[:-1].copy()
+        steps[starts] = firsts
+        first, used = self.used, int(self.begins[self.used])
+        self.used += len(words)
+        self.begins, self.wide, self.pool = room(self.begins, self.used + 1), room(self.wide, self.used), room(self.pool, used + len(steps))
+        self.begins[first + 1 : self.used + 1] = used + np.cumsum(sizes)
+        self.pool[used : used + len(steps)] = steps.astype(np.int8)
+        self.wide[first : self.used] = np.logical_or.reduceat((steps > 127) | (steps < -128), starts)
+        return first
+
+    def of(self, part: pa.Array, words: Words) -> tuple[pa.Array, np.ndarray]:
+        """The tables of the slice's texts, and the tokens of each whole text by its table."""
+        if self.begins[self.used] > POOL_BYTES:
+            self.known = WordTable(self._learn, self._clear)
+            self._clear()
+        slots = self.known.slots_of(words)
+        letters = words.data[(words.data & 0xC0) != 0x80]  # the first byte of each character
+        bounds = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])[words.bounds]
+        begins = self.begins[slots]
+        sizes = self.begins[slots + 1] - begins
+        ends = np.cumsum(sizes)
+        steps = np.zeros(len(letters), np.int8)
+        steps[~SEP[letters]] = self.pool[np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        n = np.diff(np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])[bounds])
+        made = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(steps)])
+        wide = np.concatenate([[0], np.cumsum(self.wide[slots])])[words.first]
+        odd = np.flatnonzero(np.diff(wide))
+        if len(odd):
+            rows = made.to_pylist()
+            for i in odd.tolist():
+                rows[i] = table(self.counter, part[i].as_py())
+                n[i] = _steps(rows[i]).sum()
+            made = pa.array(rows, pa.binary())
+        return made, n
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row, and on request prefix_table.
 
@@ -357,6 +413,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
+        tables = _Tables(c)
         totals, used = np.zeros(1 << 14, np.int64), 0
 
         def learn(words: list[str]) -> int:
@@ -374,13 +431,16 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table:
         for batch in batches:
             column = text_column(batch.column(1))
             for low, high, words in slices(column):
-                slots = known.slots_of(words)
-                running = np.concatenate([[0], np.cumsum(totals[slots])]) if len(slots) else np.zeros(1, np.int64)
-                n = np.diff(running[words.first])
                 part = column.slice(low, high - low)
+                if with_table:
+                    made, n = tables.of(part, words)
+                else:
+                    slots = known.slots_of(words)
+                    running = np.concatenate([[0], np.cumsum(totals[slots])]) if len(slots) else np.zeros(1, np.int64)
+                    n = np.diff(running[words.first])
                 columns = {"doc_id": batch.column(0).slice(low, high - low), "n_bytes": pc.binary_length(part).cast(pa.int64()), "n_tokens": n, "over_limit": n > limit}
                 if with_table:
-                    columns["prefix_table"] = pa.array([table(c, t) for t in part.to_pylist()], pa.binary())
+                    columns["prefix_table"] = made
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, schema)

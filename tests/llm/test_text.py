@@ -153,6 +153,37 @@ def test_token_counts(spark):
         assert tc.tokens_of_prefix(bytes(rows[key].prefix_table), len(t or "")) == n
 
 
+def test_registered_counts_have_tables(spark, sf):
+    """The query answers prefix and budget questions on its documents."""
+    from plyspark.llm.queries import op5_token_counts
+
+    library, docs = tokens.library(VOCABULARY), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op5_token_counts(spark, sf).collect()
+    assert len(rows) == len(docs) > 0
+    for r in rows:
+        t, stored = docs[r.doc_id] or "", bytes(r.prefix_table)
+        assert stored == tc.table(tc.counter(VOCABULARY), t) and r.n_tokens == tc.tokens_of_prefix(stored, len(t)) and r.over_limit == (r.n_tokens > 2048)
+    for r in rows[:40]:
+        t, stored = docs[r.doc_id] or "", bytes(r.prefix_table)
+        for k in (len(t) // 3, len(t) // 2, len(t)):
+            assert tc.tokens_of_prefix(stored, k) == len(library.encode(t[:k], add_special_tokens=False).ids)
+        assert len(library.encode(t[: tc.prefix_within(stored, 100)], add_special_tokens=False).ids) <= 100
+
+
+def test_tables_of_slices(monkeypatch):
+    """Wide steps and a full memory give the tables of single texts."""
+    c = tc.PrefixCounter(VOCABULARY)
+    counts_of = c.counts_of
+    monkeypatch.setattr(c, "counts_of", lambda ws: [[n + (300 if w == "wide" and i else 0) for i, n in enumerate(x)] for w, x in zip(ws, counts_of(ws))])
+    monkeypatch.setattr(tc, "POOL_BYTES", 30)
+    texts, tables = [*(t or "" for t in TEXTS), "a wide b", "é wide"], tc._Tables(c)
+    column = pa.array(texts, pa.large_string())
+    for low, high, words in slices(column, 60):
+        made, n = tables.of(column.slice(low, high - low), words)
+        assert made.to_pylist() == [tc.table(c, t) for t in texts[low:high]]
+        assert n.tolist() == [tc.tokens_of_prefix(tc.table(c, t), len(t)) for t in texts[low:high]]
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
