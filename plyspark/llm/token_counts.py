@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .textkernel import SEP, Words, slices, text_column
-from .tokens import LETTER, Generations, WordTable, library, room
+from .tokens import LETTER, Generations, WordTable, drops_spaces, encoder, library, room
 
 END = "</w>"
 #: The tokenizer's own pattern of pieces, contractions aside (fixed by the vocabulary file).
@@ -46,8 +46,8 @@ PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 ODD = regex.compile(r"[\p{M}\p{C}\p{Z}\u03a3\u0130\u212a]|<\|")
 ODD_CHARS = 512
-#: Steps of words that a worker remembers, in characters; beyond, it begins anew.
-POOL_BYTES = 64 << 20
+#: Pieces (words, chunks) of one generation of a worker's memory, about 300 bytes each.
+REMEMBERED = 100_000
 SPACES = " \t\n\v\f\r"
 WIDE = b"\0wide"  # no table of signed bytes ends so: a step of 119 cannot follow 0 by a single character
 WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -153,9 +153,9 @@ class PrefixCounter:
         self.tokenizer = library(path)
         self.pairs: dict[int, bool] = {}
         self.tables: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], []
-        self.pieces = Generations(300_000)
-        self.words = Generations(300_000)
-        self.chunks = Generations(300_000)
+        self.pieces = Generations(REMEMBERED)
+        self.words = Generations(REMEMBERED)
+        self.chunks = Generations(REMEMBERED)
 
     def _holds(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay apart when their letters are merged anew.
@@ -166,7 +166,7 @@ class PrefixCounter:
         key = a << 20 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._apart(a, b)
         return known
@@ -349,18 +349,21 @@ def prefix_within(stored: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-class _Tables:
+class _Tables(WordTable):
     """Tables of the texts of slices, put together from the steps of their distinct words."""
 
     def __init__(self, c: PrefixCounter):
-        self.counter, self.known = c, WordTable(self._learn, self._clear)
-        self._clear()
+        self.counter = c
+        super().__init__()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         """Steps of slot i stand in pool[begins[i] : begins[i + 1]]; both arrays have room to spare."""
-        self.pool, self.begins, self.wide, self.used = np.zeros(1 << 16, np.int8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), 0
+        self.pool, self.begins, self.wide, self.known = np.zeros(1 << 16, np.int8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), 0
 
-    def _learn(self, words: list[str]) -> int:
+    def value_bytes(self) -> int:
+        return int(self.begins[self.known]) + 21 * self.known
+
+    def learn(self, words: list[str]) -> int:
         counts = self.counter.counts_of(words)
         sizes = np.fromiter(map(len, counts), np.int64, len(counts))
         steps = np.fromiter(chain.from_iterable(counts), np.int32, int(sizes.sum()))
@@ -368,20 +371,17 @@ class _Tables:
         firsts = steps[starts]
         steps[1:] -= steps[:-1].copy()
         steps[starts] = firsts
-        first, used = self.used, int(self.begins[self.used])
-        self.used += len(words)
-        self.begins, self.wide, self.pool = room(self.begins, self.used + 1), room(self.wide, self.used), room(self.pool, used + len(steps))
-        self.begins[first + 1 : self.used + 1] = used + np.cumsum(sizes)
+        first, used = self.known, int(self.begins[self.known])
+        self.known += len(words)
+        self.begins, self.wide, self.pool = room(self.begins, self.known + 1), room(self.wide, self.known), room(self.pool, used + len(steps))
+        self.begins[first + 1 : self.known + 1] = used + np.cumsum(sizes)
         self.pool[used : used + len(steps)] = steps.astype(np.int8)
-        self.wide[first : self.used] = np.logical_or.reduceat((steps > 127) | (steps < -128), starts)
+        self.wide[first : self.known] = np.logical_or.reduceat((steps > 127) | (steps < -128), starts)
         return first
 
     def of(self, part: pa.Array, words: Words) -> tuple[pa.Array, np.ndarray]:
         """The tables of the slice's texts, and the tokens of each whole text by its table."""
-        if self.begins[self.used] > POOL_BYTES:
-            self.known = WordTable(self._learn, self._clear)
-            self._clear()
-        slots = self.known.slots_of(words)
+        slots = self.slots_of(words)
         letters = words.data[(words.data & 0xC0) != 0x80]  # the first byte of each character
         bounds = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])[words.bounds]
         begins = self.begins[slots]
@@ -402,42 +402,68 @@ class _Tables:
         return made, n
 
 
+class _Totals(WordTable):
+    """Tokens of words."""
+
+    def __init__(self, c: PrefixCounter):
+        self.counter = c
+        super().__init__()
+
+    def clear(self) -> None:
+        self.totals, self.known = np.zeros(1 << 14, np.int64), 0
+
+    def value_bytes(self) -> int:
+        return 20 * self.known
+
+    def learn(self, words: list[str]) -> int:
+        first = self.known
+        self.totals = room(self.totals, first + len(words))
+        self.totals[first : first + len(words)] = self.counter.totals_of(words)
+        self.known += len(words)
+        return first
+
+    def of(self, part: pa.Array, words: Words) -> np.ndarray:
+        """Tokens of each text of the slice."""
+        return np.diff(np.concatenate([[0], np.cumsum(self.totals[self.slots_of(words)])])[words.first])
+
+
+class _ByLibrary:
+    """Tokens of whole texts by a vocabulary that the rule is not made for."""
+
+    def __init__(self, path: str):
+        self.encoder = encoder(path)
+
+    def of(self, part: pa.Array, words: Words) -> np.ndarray:
+        return np.diff(self.encoder.ids(words)[1])
+
+
+@lru_cache(maxsize=2)
+def _worker(tokenizer: str, with_table: bool) -> _Tables | _Totals | _ByLibrary:
+    """What counts, kept from task to task."""
+    if not drops_spaces(tokenizer):
+        return _ByLibrary(tokenizer)
+    return _Tables(counter(tokenizer)) if with_table else _Totals(counter(tokenizer))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, with_table: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row, and on request prefix_table.
 
-    Null texts count as empty: no bytes, no tokens, an empty table.  Rows with equal or null ids each
-    give a row; other columns are ignored; an empty table gives no rows.
+    Prefix tables are for vocabulary files that `drops_spaces`; whole texts are counted by any.  Null texts
+    count as empty: no bytes, no tokens, an empty table.  Rows with equal or null ids each give a row; other
+    columns are ignored; an empty table gives no rows.
     """
+    if with_table and not drops_spaces(tokenizer):
+        raise ValueError(f"no prefix tables by {tokenizer}: its pieces cross white space")
     prepare(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", prefix_table binary" if with_table else "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(tokenizer)
-        tables = _Tables(c)
-        totals, used = np.zeros(1 << 14, np.int64), 0
-
-        def learn(words: list[str]) -> int:
-            nonlocal totals, used
-            totals = room(totals, used + len(words))
-            totals[used : used + len(words)] = c.totals_of(words)
-            used += len(words)
-            return used - len(words)
-
-        def clear() -> None:
-            nonlocal used
-            used = 0
-
-        known = WordTable(learn, clear)
+        worker = _worker(tokenizer, with_table)
         for batch in batches:
             column = text_column(batch.column(1))
             for low, high, words in slices(column):
                 part = column.slice(low, high - low)
-                if with_table:
-                    made, n = tables.of(part, words)
-                else:
-                    slots = known.slots_of(words)
-                    running = np.concatenate([[0], np.cumsum(totals[slots])]) if len(slots) else np.zeros(1, np.int64)
-                    n = np.diff(running[words.first])
+                made, n = worker.of(part, words) if with_table else (None, worker.of(part, words))
                 columns = {"doc_id": batch.column(0).slice(low, high - low), "n_bytes": pc.binary_length(part).cast(pa.int64()), "n_tokens": n, "over_limit": n > limit}
                 if with_table:
                     columns["prefix_table"] = made

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import prepare, shared_dir, written
 from .crc32c import crc32c_many, masked
 from .textkernel import slices
-from .tokens import Encoder
+from .tokens import encoder
 
 HEAD = "<qBB"  # document id, null flag, width of an id
 FRAME = 16  # bytes that framing adds
@@ -39,8 +39,8 @@ MANIFEST = "part int, file string, n_records long, n_tokens long"
 INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8")])
 #: Records are framed in groups of about this many bytes.
 GROUP_BYTES = 4 << 20
-#: Texts are encoded in slices of about this many bytes: fewer slices ask for fewer distinct words.
-ENCODE_BYTES = 2 << 20
+#: Texts are encoded in slices of about this many bytes.
+ENCODE_BYTES = 1 << 20
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -107,11 +107,11 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, encoder = None, Encoder(tokenizer)
+        out, made = None, encoder(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for low, _, words in slices(batch.column(1), ENCODE_BYTES):
-                ids, offsets = encoder.ids(words)
+                ids, offsets = made.ids(words)
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], np.uint32(end_id))
                     width = 2 if own.max() < 1 << 16 else 4

@@ -1,6 +1,9 @@
 """Kernels, tokens and page text."""
 
+import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plyspark.llm import token_counts as tc
-from plyspark.llm import tokens
+from plyspark.llm import textkernel, tokens
 from plyspark.llm.crc32c import _plain, crc32c_many, masked
 from plyspark.llm.html_text import extract_text, html_to_text
 from plyspark.llm.textkernel import slices
@@ -86,7 +89,7 @@ def test_cut_words_have_every_prefix_count(t):
 def test_full_memories_give_the_same(monkeypatch):
     library = tokens.library(VOCABULARY)
     encoder = tokens.Encoder(VOCABULARY)
-    encoder.table.limit, encoder.bases.limit = 20, 10
+    encoder.limit, encoder.bases.limit = 2000, 10
     texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(30)]
     got = []
     for _, _, words in slices(pa.array(texts), 60):
@@ -95,6 +98,45 @@ def test_full_memories_give_the_same(monkeypatch):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_that_share_a_hash_stay_apart(monkeypatch):
+    """Hashes only find words: with 3 hashes for all words, ids and counts are still the library's."""
+    library = tokens.library(VOCABULARY)
+    hashes = textkernel.Words.hashes
+    monkeypatch.setattr(textkernel.Words, "hashes", lambda self, *a, **k: hashes(self, *a, **k) % np.uint64(3))
+    made, totals, tables = tokens.Encoder(VOCABULARY), tc._Totals(tc.counter(VOCABULARY)), tc._Tables(tc.counter(VOCABULARY))
+    texts = [" ".join(["same", f"word{i % 7}", f"a{'b' * (i % 9)}c", "x" * 70 + str(i % 2), "é'll", "pneumonoultramicroscopic" + "sS"[i % 2]]) for i in range(20)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    column, got = pa.array(texts, pa.large_string()), []
+    for low, high, words in slices(column, 300):
+        ids, offsets = made.ids(words)
+        got += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        assert totals.of(None, words).tolist() == tables.of(column.slice(low, high - low), words)[1].tolist() == [len(x) for x in want[low:high]]
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_every_vocabulary_file_gives_the_library_ids(spark, tmp_path, name):
+    path = public_tokenizers.path(name)
+    texts = [*(t or "" for t in TEXTS), "Hello  world, 12 apples\n\nand 王"]
+    if name.endswith(".json"):
+        want = [e.ids for e in tokens.library(path).encode_batch(texts, add_special_tokens=False)]
+    else:
+        import sentencepiece
+
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = read_token_records(write_token_records(df, str(tmp_path / "r"), path, end_id=1), str(tmp_path / "r"), with_ids=True).collect()
+    assert [r.token_ids for r in sorted(rows, key=lambda r: r.doc_id)] == [[*w, 1] for w in want]
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts(df, path).collect()) == [(i, len(w)) for i, w in enumerate(want)]
+
+
+def test_other_vocabularies_are_refused_where_the_rule_does_not_hold(tmp_path):
+    with pytest.raises(ValueError, match="not those of its words"):
+        tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="no library"):
+        tokens.encoder(str(tmp_path / "x.tiktoken"))
+
+
 def test_crc():
     assert _plain(b"123456789") == 0xE3069283  # the published check value
     parts = [b"123456789", b"ab", b"", bytes(range(256)) * 33, b"x" * 64, b"y" * 65]
@@ -175,7 +217,7 @@ def test_tables_of_slices(monkeypatch):
     c = tc.PrefixCounter(VOCABULARY)
     counts_of = c.counts_of
     monkeypatch.setattr(c, "counts_of", lambda ws: [[n + (300 if w == "wide" and i else 0) for i, n in enumerate(x)] for w, x in zip(ws, counts_of(ws))])
-    monkeypatch.setattr(tc, "POOL_BYTES", 30)
+    monkeypatch.setattr(tc._Tables, "limit", 300)
     texts, tables = [*(t or "" for t in TEXTS), "a wide b", "é wide"], tc._Tables(c)
     column = pa.array(texts, pa.large_string())
     for low, high, words in slices(column, 60):
@@ -192,6 +234,11 @@ def test_tables_of_slices(monkeypatch):
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
         ("<table><tr><td>ab<td>c<tr><td>d<td>ef</table>", "ab | c\nd  | ef"), ("<pre> a\n  b</pre>", " a\n  b"), ("x &amp; y &#233;", "x & y é"),
         ("a<!-- no --><b>b</b>c", "abc"), ("<select><option>x<option>y</select>", "x\ny"), ("<p>a</b></i></div>b", "ab"), ("<", "<"), ("a < b", "a < b"), ("<a href='x>y'>link</a>", "link"),
+        ("<p title=it's>hello</p> world <b>more</b>", "hello\n\nworld more"), ('<a href="x>after the quote', "after the quote"), ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A | b\n  | c"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"), ("<svg><text>t</text><title>no</title><![CDATA[x]]></svg><object>o</object>", "txo"), ("<![CDATA[x]]>y", "y"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details><dialog>d</dialog>z", "s\nt\nyes\nz"), ("<p style='/* display:none */color:red'>seen</p>", "seen"), ("<p style='display:none!important;display:block'>x</p>y", "y"),
+        ("a&nbsp;&nbsp;b", "a\xa0\xa0b"), ("<ol><li value=4>a<li>b</ol><ol reversed><li>x<li>y</ol><ol type=i start=3><li>q<li>r</ol>", "4. a\n5. b\n\n2. x\n1. y\n\niii. q\niv. r"), ("a<plaintext><b>x", "a\n\n<b>x"),
+        ("<table>astray<thead>too<tr><td>x</thead><tfoot><tr><td>foot</tfoot><tr><td colspan=2>wide cell<td>z<tr><td>1<td>2<td>3</table>", "astray\ntoo\nx\nwide cell | z\n1    | 2  | 3\nfoot"), ("<table><td>a<td>b<tr><td>c</table>", "a | b\nc"),
         ("<head><meta charset=x>text", "text"), ("<img alt='pic'>", "pic"), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<template>x</template><noscript>y</noscript>", ""), ("<textarea><b>q</b></textarea>", "<b>q</b>"),
     ],
 )
@@ -199,8 +246,84 @@ def test_page_text(source, want):
     assert html_to_text(source) == want
 
 
+WORD = re.compile(r"w\d+")
+
+
+class Visible(HTMLParser):
+    """The visible words of well-formed pages, by another way: a stack of what each open element shows."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.words = [True], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        style, now = dict(attrs).get("style") or "", self.stack[-1]
+        if now is not None:
+            now = None if tag in ("script", "template") or "hidden" in dict(attrs) or "none" in style else True if "visible" in style else False if "hidden" in style else now
+        self.stack.append(now)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.words += WORD.findall(data) if self.stack[-1] else []
+
+
+def grown(rng, depth=0):
+    """A well-formed piece of a page."""
+    if depth > 5 or rng.random() < 0.25:
+        return f"w{rng.randrange(10**6)} " * rng.randint(0, 3)
+    tag = rng.choice(["div", "span", "b", "ul", "table", "section", "blockquote", "pre", "script", "h2"])
+    mark = rng.choice([""] * 8 + [" hidden", " style='display: none'", " style='visibility:hidden'", ' style="color:red;visibility:visible"', " title=it's"])
+    inner = [grown(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    if tag == "ul":
+        inner = [f"<li>{x}</li>" for x in inner]
+    if tag == "table":
+        inner = [f"<tr><td>{x}</td><td>w{rng.randrange(10**6)}</td></tr>" for x in inner]
+    if tag == "script":
+        inner = ["w1 < w2"]
+    return f"<{tag}{mark}>{''.join(inner)}</{tag}>"
+
+
+def test_generated_pages_show_their_visible_words():
+    rng = random.Random(3)
+    for _ in range(400):
+        source = "".join(grown(rng) for _ in range(3))
+        assert sorted(WORD.findall(html_to_text(source))) == sorted(Visible(source).words), source
+
+
+def test_cells_of_a_column_begin_at_one_place():
+    """Grids with colspan and rowspan against a plain map of who takes which square."""
+    rng = random.Random(4)
+    for _ in range(300):
+        taken, place, rows = set(), {}, []
+        for y in range(rng.randint(1, 6)):
+            cells, x = [f"<td>r{y}"], 1  # each row begins with a cell of its own
+            taken.add((y, 0))
+            for _ in range(rng.randint(0, 4)):
+                while (y, x) in taken:
+                    x += 1
+                wide, high, word = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2, 3]), f"w{len(place)}" + "x" * rng.randint(0, 6)
+                while any((y, c) in taken for c in range(x, x + wide)):
+                    wide -= 1
+                taken |= {(y + i, x + j) for i in range(high) for j in range(wide)}
+                place[word] = (y, x)
+                cells.append(f"<td colspan={wide} rowspan={high}>{word}")
+                x += wide
+            rows.append("<tr>" + "".join(cells))
+        lines = html_to_text(f"<table>{''.join(rows)}</table>").split("\n")
+        assert len(lines) == len(rows)
+        at = {}
+        for word, (y, x) in place.items():
+            at.setdefault(x, set()).add(lines[y].index(word + " " if word + " " in lines[y] else word))
+        assert all(len(v) == 1 for v in at.values()) and [min(at[x]) for x in sorted(at)] == sorted(min(v) for v in at.values())
+
+
 def test_odd_pages(spark):
-    assert html_to_text("<div>" * 5000 + "deep") == "deep" and html_to_text("<table><tr><td>" * 300 + "x").endswith("x")
+    assert html_to_text("<div>" * 50_000 + "deep" + "<div hidden>gone</div>") == "deep" and html_to_text("<table><tr><td>" * 3000 + "x").endswith("x")
+    assert html_to_text("<font>" * 20_000 + "<p>a</p></b>" * 2000).count("a") == 2000 and html_to_text('<a b="' * 50_000 + "x") is not None
+    assert html_to_text("<table><tr>" + "<td colspan=1000 rowspan=65534>x" * 1000 + "</table>").count("x") == 1000
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None)], "page_id long, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, extract_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, None)]
     assert extract_text(df.where("false")).collect() == []
