@@ -2,23 +2,27 @@
 
 The text view sees which words a document holds and how it is written (shares of capitals, digits, marks,
 repeated words, word lengths); the metadata view sees its language, source and length.  Each is a logistic
-regression.  Over some rounds each view labels documents of an unlabelled pool where it is confident, and
-the other learns from them; a view teaches only while its confident answers are right on held-out rows.
-The two views' logits are then calibrated together on the held-out rows, and the calibrated model scores
-every document.
+regression.  Both begin with the labelled documents.  Then, over some rounds, each view scores all unlabelled
+documents and gives labels to those it is sure of, and the other learns from them: what travels is not the
+documents but, per feature, the gradient and a bound of the curvature of their loss, summed over all of them
+in whole numbers.  A view teaches only while its sure answers are right on the gate rows.  Each view's logits
+are calibrated on rows of their own, the calibrated views are combined by a fit to further rows, and the
+combined model scores every document.
 
-Models are fitted on a sample of at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, those
-with the smallest hashes of their ids; every document is scored over its whole text.
+Labelled rows are dealt by the hash of their ids to training, gate, calibration, combination and report, so
+that what the report says was used for nothing else.  The labelled sample has at most `max_labelled` rows, those
+with the smallest hashes of their ids; everything else covers all documents and whole texts.
 
 A document is good when its quality is 1 and it is not toxic.  Defined results: label rows with a null id or
-quality are ignored, a null toxic counts as 0; with labels of one kind only, or none, every document gets
-that kind (good if none); null texts count as empty, null metadata as a value of its own; rows with equal
-or null ids each give a row; an empty table gives no rows.
+quality are ignored, a null toxic counts as 0, of several labels for one id the worst holds; with labels of
+one kind only, or none, every document gets that kind (good if none); null texts count as empty, null
+metadata as a value of its own; rows with equal or null ids each give a row; other columns, whatever their
+names, are kept by `good_documents` and ignored elsewhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import prepare, written
 from .textkernel import Words, distinct, slices, text_column
 
-MAX_LABELLED, MAX_POOL = 8000, 4000
+MAX_LABELLED = 8000
 ROUNDS, SURE, TRUST = 3, 0.98, 0.95
+#: Sums over documents are of whole numbers, so that they do not depend on the order of tasks.
+UNIT = 1 << 24
 HASH_BITS = 22
 #: Words enter the text view when they stand in so many sampled documents and their rates differ by so many standard errors.
 MIN_DOCUMENTS, MIN_Z = 6, 4.0
@@ -74,113 +80,122 @@ def metadata_keys(lang, source, size: int) -> list[str]:
     return [f"lang={lang}", f"source={source}", f"size={bucket}", f"lang={lang} size={bucket // 2}"]
 
 
+@dataclass
+class Rows:
+    """Documents as the numbers of their features: those of row i are index[offsets[i] : offsets[i + 1]]."""
+
+    index: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list) -> Rows:
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return cls(np.concatenate([*map(np.asarray, lists), np.zeros(0)]).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.offsets)
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.sizes)
+
+    def take(self, which: np.ndarray) -> Rows:
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.offsets[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return Rows(self.index[at], np.concatenate([[0], ends]))
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights[self.index], len(self))
+
+
+def chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@dataclass
+class Taught:
+    """What unlabelled documents say to a view, as a bound of their loss around the weights `at`: gradient and
+    curvature by feature (the bias last), and how many they are."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curve: np.ndarray
+    n: float
+
+
 @dataclass
 class Logistic:
-    """Regularised logistic regression over sparse binary features."""
+    """Regularised logistic regression over sparse binary features; the bias is the last weight."""
 
     weights: np.ndarray
-    bias: float = 0.0
 
     @classmethod
-    def fitted(cls, rows: list[np.ndarray], labels: np.ndarray, features: int, penalty: float = 1.0, steps: int = 200) -> Logistic:
-        lens = np.array([len(r) for r in rows])
-        index = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), lens)
-        w, g2 = np.zeros(features + 1), np.full(features + 1, 1e-6)
+    def fitted(cls, rows: Rows, labels: np.ndarray, features: int, taught: Taught | None = None, penalty: float = 1.0, steps: int = 200) -> Logistic:
+        w = np.zeros(features + 1) if taught is None else taught.at.copy()
+        owner, g2 = rows.owner, np.full(features + 1, 1e-6)
+        # However many teach, together they weigh no more than the labelled rows.
+        share = min(1.0, len(rows) / taught.n) if taught is not None and taught.n else 0.0
         for _ in range(steps):
-            z = np.bincount(owner, w[index], len(rows)) + w[-1]
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-            g = np.append(np.bincount(index, error[owner], features) + penalty * w[:-1], error.sum())
+            error = chance(np.bincount(owner, w[rows.index], len(rows)) + w[-1]) - labels
+            g = np.append(np.bincount(rows.index, error[owner], features) + penalty * w[:-1], error.sum())
+            if share:
+                g += share * (taught.gradient + taught.curve * (w - taught.at))
             g2 += g * g
             w -= 0.5 * g / np.sqrt(g2)
-        return cls(w[:-1], float(w[-1]))
+        return cls(w)
+
+    def logits(self, rows: Rows) -> np.ndarray:
+        return rows.dot(self.weights[:-1]) + self.weights[-1]
+
 
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[r].sum() + self.bias for r in rows]) if rows else np.zeros(0)
+VIEWS = ("text", "metadata")
 
 
 @dataclass
 class Model:
-    """Both views' features and weights and how their logits combine."""
+    """Both views' features and weights, how each is calibrated, and how they combine."""
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # word numbers, ascending
     edges: np.ndarray = field(default_factory=lambda: np.zeros((STATS, len(QUANTILES))))
     keys: dict[str, int] = field(default_factory=dict)
-    text: Logistic | None = None
-    metadata: Logistic | None = None
-    mixing: tuple[float, float, float] = (0.0, 0.0, 30.0)  # weights of the logits, bias: all are good
+    views: dict[str, Logistic] = field(default_factory=dict)
+    calibration: dict[str, np.ndarray] = field(default_factory=dict)  # slope, shift
+    mixing: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 30.0]))  # weights of the views, shift: all are good
     report: dict = field(default_factory=dict)
 
-    def style_features(self, stats: np.ndarray) -> np.ndarray:
-        width = len(QUANTILES) + 1
-        return len(self.words) + np.arange(STATS) * width + np.array([np.searchsorted(e, s) for e, s in zip(self.edges, stats.T)]).T
+    @property
+    def features(self) -> dict[str, int]:
+        return {"text": len(self.words) + STATS * (len(QUANTILES) + 1), "metadata": len(self.keys)}
 
-    def text_rows(self, numbers: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
+    def text_rows(self, numbers: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> Rows:
+        """Known words of each text, and the bins of its style numbers."""
         at = np.searchsorted(self.words, numbers)
-        known = (at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == numbers) if len(self.words) else np.zeros(len(numbers), bool)
+        known = self.words[np.minimum(at, len(self.words) - 1)] == numbers if len(self.words) else np.zeros(len(numbers), bool)
         cuts = np.concatenate([[0], np.cumsum(known)])[offsets]
-        at = at[known]
-        shape = self.style_features(stats)
-        return [np.append(at[a:b], s) for a, b, s in zip(cuts[:-1], cuts[1:], shape)]
+        bins = len(self.words) + np.arange(STATS) * (len(QUANTILES) + 1) + np.array([np.searchsorted(e, x) for e, x in zip(self.edges, stats.T)]).T.reshape(-1, STATS)
+        return Rows(np.insert(at[known], np.repeat(cuts[1:], STATS), bins.ravel()), cuts + STATS * np.arange(len(cuts)))
 
-    def metadata_rows(self, keys: list[list[str]]) -> list[np.ndarray]:
-        return [np.array([self.keys[k] for k in ks if k in self.keys], np.int64) for ks in keys]
+    def metadata_rows(self, keys: list[list[str]]) -> Rows:
+        return Rows.of([[self.keys[k] for k in ks if k in self.keys] for ks in keys])
+
+    def calibrated(self, view: str, rows: Rows) -> np.ndarray:
+        slope, shift = self.calibration[view]
+        return slope * np.clip(self.views[view].logits(rows), -20, 20) + shift
 
     def scores(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
+        """Of calibrated logits."""
         a, b, c = self.mixing
-        return 1 / (1 + np.exp(-np.clip(a * text + b * metadata + c, -30, 30)))
-
-
-def co_train(rows: list[dict], rounds: int = ROUNDS) -> Model:
-    """rows: numbers, stats, keys, and label (1 good, 0 not, None for the pool)."""
-    labels = np.array([-1 if r["label"] is None else r["label"] for r in rows])
-    known = np.flatnonzero(labels >= 0)
-    model = Model()
-    if len(np.unique(labels[known])) < 2:
-        if len(known) and labels[known[0]] == 0:
-            model.mixing = (0.0, 0.0, -30.0)
-        return model
-    held, train = known[::5], np.setdiff1d(known, known[::5])
-    pool = np.flatnonzero(labels < 0)
-    model.words = _telling_words([rows[i]["numbers"] for i in train], labels[train])
-    stats = np.array([r["stats"] for r in rows])
-    model.edges = np.quantile(stats[train], QUANTILES, axis=0).T
-    names = sorted({k for i in train for k in rows[i]["keys"]})
-    model.keys = {k: i for i, k in enumerate(names)}
-    offsets = np.cumsum([0, *(len(r["numbers"]) for r in rows)])
-    views = {
-        "text": model.text_rows(np.concatenate([r["numbers"] for r in rows]), offsets, stats),
-        "metadata": model.metadata_rows([r["keys"] for r in rows]),
-    }
-    features = {"text": len(model.words) + STATS * (len(QUANTILES) + 1), "metadata": len(names)}
-    taught: dict[str, dict[int, int]] = {"text": {}, "metadata": {}}
-    fitted = {}
-    for turn in range(rounds + 1):
-        for view, other in (("text", "metadata"), ("metadata", "text")):
-            own = [*train.tolist(), *taught[view]]
-            y = np.array([*labels[train].tolist(), *taught[view].values()], float)
-            fitted[view] = Logistic.fitted([views[view][i] for i in own], y, features[view])
-        if turn == rounds:
-            break
-        for view, other in (("text", "metadata"), ("metadata", "text")):
-            test = fitted[view].logits([views[view][i] for i in held])
-            answer = fitted[view].logits([views[view][i] for i in pool])
-            for kind, sign in ((1, 1), (0, -1)):
-                sure = np.log(SURE / (1 - SURE))
-                right = labels[held[sign * test > sure]] == kind
-                if len(right) >= 20 and right.mean() >= TRUST:
-                    taught[other] |= dict.fromkeys(pool[sign * answer > sure].tolist(), kind)
-    model.text, model.metadata = fitted["text"], fitted["metadata"]
-    t, m = (fitted[v].logits([views[v][i] for i in held]) for v in ("text", "metadata"))
-    model.mixing = _calibrated(t, m, labels[held])
-    right = (model.scores(t, m) >= 0.5) == (labels[held] == 1)
-    model.report = {"held_out": len(held), "accuracy": float(right.mean()), "good_kept": float(right[labels[held] == 1].mean()), "bad_caught": float(right[labels[held] == 0].mean()), "taught": {k: len(v) for k, v in taught.items()}, "words": len(model.words), "text_accuracy": float(((t > 0) == (labels[held] == 1)).mean()), "metadata_accuracy": float(((m > 0) == (labels[held] == 1)).mean())}
-    return model
+        return chance(a * text + b * metadata + c)
 
 
-def _telling_words(numbers: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    every, where = np.unique(np.concatenate(numbers), return_inverse=True)
-    owner = np.repeat(labels, [len(x) for x in numbers])
+def _telling_words(numbers: Rows, labels: np.ndarray) -> np.ndarray:
+    every, where = np.unique(numbers.index, return_inverse=True)
+    owner = labels[numbers.owner]
     good, bad = np.bincount(where[owner == 1], minlength=len(every)), np.bincount(where[owner == 0], minlength=len(every))
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
     rate = (good + bad) / (n1 + n0)
@@ -189,56 +204,203 @@ def _telling_words(numbers: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return every[(good + bad >= MIN_DOCUMENTS) & (np.abs(z) >= MIN_Z)]
 
 
-def _calibrated(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of the two logits and a bias, by a regularised fit to held-out labels."""
-    x = np.column_stack([np.clip(t, -20, 20), np.clip(m, -20, 20), np.ones(len(t))])
-    w, pull = np.array([1.0, 0.0, 0.0]), np.array([1.0, 1.0, 0.1])
+def _line(x: np.ndarray, y: np.ndarray, start: list[float]) -> np.ndarray:
+    """Logistic weights of the columns of x, the last of which is 1, drawn to `start` as by one row each."""
+    w, pull = np.array(start), np.append(np.ones(x.shape[1] - 1), 0.1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + pull * (w - [1.0, 0.0, 0.0])
+        p = chance(x @ w)
+        g = x.T @ (p - y) + pull * (w - start)
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), g)
-    return float(w[0]), float(w[1]), float(w[2])
+    return w
+
 
+PARTS = ("train", "gate", "calibration", "combination", "report")
 
-_SAMPLE = "label int, numbers array<int>, stats array<double>, lang string, source string, size long"
+
+def parts(n: int) -> dict[str, np.ndarray]:
+    """Row numbers of each part: of ten rows, six train and the others have one each."""
+    by = np.arange(n) % 10
+    return {"train": np.flatnonzero(by < 6), "gate": np.flatnonzero(by == 6), "calibration": np.flatnonzero(by == 7), "combination": np.flatnonzero(by == 8), "report": np.flatnonzero(by == 9)}
+
+
+@dataclass
+class Sample:
+    """The labelled sample: word numbers, style numbers, metadata keys and labels of its rows, in the order of their hashes."""
+
+    numbers: Rows
+    stats: np.ndarray
+    keys: list[list[str]]
+    labels: np.ndarray
+
+
+def co_train(sample: Sample, teach: Callable[[Model, dict[str, list[int]]], dict[str, Taught]] | None = None, rounds: int = ROUNDS) -> Model:
+    """A model of the sample and of what unlabelled documents teach: teach(model, kinds that each view is trusted
+    with) gives what each view learns from the other."""
+    model, labels = Model(), sample.labels
+    of = parts(len(labels))
+    if len(np.unique(labels[of["train"]])) < 2:
+        if len(labels) and not labels.any():
+            model.mixing = np.array([0.0, 0.0, -30.0])
+        if len(np.unique(labels)) < 2:
+            return model
+        of = dict.fromkeys(PARTS, np.arange(len(labels)))  # too few rows to keep apart
+    train, y = of["train"], labels[of["train"]].astype(float)
+    model.words = _telling_words(sample.numbers.take(train), labels[train])
+    model.edges = np.quantile(sample.stats[train], QUANTILES, axis=0).T
+    model.keys = {k: i for i, k in enumerate(sorted({k for i in train for k in sample.keys[i]}))}
+    rows = {"text": model.text_rows(sample.numbers.index, sample.numbers.offsets, sample.stats), "metadata": model.metadata_rows(sample.keys)}
+    model.views = {v: Logistic.fitted(rows[v].take(train), y, model.features[v]) for v in VIEWS}
+    taught = {}
+    for _ in range(rounds if teach else 0):
+        trusted = {v: trusted_kinds(model.views[v].logits(rows[v].take(of["gate"])), labels[of["gate"]]) for v in VIEWS}
+        taught = teach(model, trusted)
+        model.views = {v: Logistic.fitted(rows[v].take(train), y, model.features[v], taught[v]) for v in VIEWS}
+    at, told = of["calibration"], labels[of["calibration"]]
+    for v in VIEWS:
+        z = np.clip(model.views[v].logits(rows[v].take(at)), -20, 20)
+        model.calibration[v] = _line(np.column_stack([z, np.ones(len(at))]), told, [1.0, 0.0])
+    at, told = of["combination"], labels[of["combination"]]
+    both = [model.calibrated(v, rows[v].take(at)) for v in VIEWS]
+    model.mixing = _line(np.column_stack([*both, np.ones(len(at))]), told, [1.0, 0.0, 0.0])
+    at, told = of["report"], labels[of["report"]] == 1
+    t, m = (model.calibrated(v, rows[v].take(at)) for v in VIEWS)
+    right = (model.scores(t, m) >= 0.5) == told
+    model.report = {
+        "rows": len(at), "accuracy": float(right.mean()), "good_kept": float(right[told].mean()), "bad_caught": float(right[~told].mean()), "words": len(model.words),
+        "text_accuracy": float(((t > 0) == told).mean()), "metadata_accuracy": float(((m > 0) == told).mean()), "taught": {v: x.n for v, x in taught.items()},
+    }
+    return model
+
+
+def trusted_kinds(logits: np.ndarray, labels: np.ndarray) -> list[int]:
+    """The kinds (1 good, 0 not) that a view may teach: its sure answers of that kind are right on the gate rows."""
+    sure = np.log(SURE / (1 - SURE))
+    found = [(k, labels[s * logits > sure] == k) for k, s in ((1, 1), (0, -1))]
+    return [k for k, right in found if len(right) >= 20 and right.mean() >= TRUST]
+
+
+def lesson(model: Model, trusted: dict[str, list[int]], rows: dict[str, Rows]) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
+    """(view, gradient, curvature, documents) that documents give each view, by the other's sure answers."""
+    sure = np.log(SURE / (1 - SURE))
+    logits = {v: model.views[v].logits(rows[v]) for v in VIEWS}
+    for view, other in (VIEWS, VIEWS[::-1]):
+        z = logits[other]
+        kind = np.where(z > sure, 1, np.where(z < -sure, 0, -1))
+        which = np.flatnonzero(np.isin(kind, trusted[other]))
+        mine, features = rows[view].take(which), model.features[view]
+        p, owner = chance(logits[view][which]), mine.owner
+        error = p - kind[which]
+        # Of a row with k features and a bias, k + 1 times the diagonal bounds the whole curvature.
+        bend = p * (1 - p) * (mine.sizes + 1)
+        yield view, np.append(np.bincount(mine.index, error[owner], features), error.sum()), np.append(np.bincount(mine.index, bend[owner], features), bend.sum()), len(which)
+
+
+_SAMPLE = "doc_id long, label int, numbers array<int>, stats array<double>, lang string, source string, size long"
+_LESSON = "view int, feature int, gradient long, curve long, n long"
+_FEATURES = "doc_id long, text_features array<int>, metadata_features array<int>"
+
+
+def _lists(rows: Rows) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows.offsets.astype(np.int32)), pa.array(rows.index.astype(np.int32)))
+
+
+def _rows(column: pa.Array) -> Rows:
+    offsets = column.offsets.to_numpy()
+    return Rows(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), (offsets - offsets[0]).astype(np.int64))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, numbers, offsets, stats in text_view(batch.column(1)):
+        for low, high, numbers, offsets, stats in text_view(batch.column(2)):
             n = high - low
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(low, n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(numbers.astype(np.int32))),
-                pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(2).slice(low, n), batch.column(3).slice(low, n),
-                pc.binary_length(text_column(batch.column(1)).slice(low, n)).cast(pa.int64()),
+                batch.column(0).slice(low, n), batch.column(1).slice(low, n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(numbers.astype(np.int32))),
+                pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(3).slice(low, n), batch.column(4).slice(low, n),
+                pc.binary_length(text_column(batch.column(2)).slice(low, n)).cast(pa.int64()),
             ], names=[c.split()[0] for c in _SAMPLE.split(", ")])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
+def _views(model: Model, text: pa.Array, lang: pa.Array, source: pa.Array) -> Iterator[tuple[int, int, dict[str, Rows]]]:
+    """(from row, to row, features of either view) for row ranges of bounded bytes."""
+    sizes = pc.binary_length(text_column(text)).to_pylist()
+    metadata = model.metadata_rows([metadata_keys(*k) for k in zip(lang.to_pylist(), source.to_pylist(), sizes)])
+    for low, high, numbers, offsets, stats in text_view(text):
+        yield low, high, {"text": model.text_rows(numbers, offsets, stats), "metadata": metadata.take(np.arange(low, high))}
+
+
+def _unlabelled(docs: DataFrame, told: DataFrame, model: Model) -> DataFrame:
+    """The features of all documents without a label, written once: only the words that tell, so little of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, rows in _views(shared.value, *batch.columns[1:]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), _lists(rows["text"]), _lists(rows["metadata"])], names=[c.split()[0] for c in _FEATURES.split(", ")])
+
+    return written(docs.mapInArrow(give, _FEATURES).join(told, "doc_id", "left_anti"), "features")
+
+
+def _taught(features: DataFrame, model: Model, trusted: dict[str, list[int]]) -> dict[str, Taught]:
+    """What all unlabelled documents teach either view: one pass, a row for each feature that is met in a task."""
+    shared = features.sparkSession.sparkContext.broadcast((model, trusted))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kinds = shared.value
+        total = {v: [np.zeros(now.features[v] + 1, np.int64), np.zeros(now.features[v] + 1, np.int64), 0] for v in VIEWS}
+        for batch in batches:
+            for view, g, h, n in lesson(now, kinds, {"text": _rows(batch.column(0)), "metadata": _rows(batch.column(1))}):
+                total[view][0] += np.round(g * UNIT).astype(np.int64)
+                total[view][1] += np.round(h * UNIT).astype(np.int64)
+                total[view][2] += n
+        for i, view in enumerate(VIEWS):
+            g, h, n = total[view]
+            met = np.flatnonzero((g != 0) | (h != 0))
+            at = np.append(met, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.append(g[met], 0)), pa.array(np.append(h[met], 0)), pa.array(np.append(np.zeros(len(met), np.int64), n))], names=[c.split()[0] for c in _LESSON.split(", ")])
+
+    summed = features.select("text_features", "metadata_features").mapInArrow(sums, _LESSON).groupBy("view", "feature").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("gradient", "curve", "n")])
+    out = {v: Taught(model.views[v].weights, np.zeros(model.features[v] + 1), np.zeros(model.features[v] + 1), 0.0) for v in VIEWS}
+    for row in summed.collect():  # a row for each feature
+        t = out[VIEWS[row.view]]
+        if row.feature < 0:
+            t.n = float(row.n)
+        else:
+            t.gradient[row.feature], t.curve[row.feature] = float(row.gradient) / UNIT, float(row.curve) / UNIT
+    return out
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model:
     """A model from docs(doc_id, text, lang, source) and labels(doc_id, quality, toxic)."""
     prepare(docs.sparkSession)
+    docs = _columns(docs)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("label"))
-    chance = F.xxhash64("doc_id")
-    sample = written(told.orderBy(chance, "doc_id").limit(MAX_LABELLED), "labelled")
-    pool = docs.select("doc_id").where("doc_id is not null").join(told, "doc_id", "left_anti").orderBy(chance, "doc_id").limit(MAX_POOL)
-    chosen = written(sample.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("label"))), "sample")
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("label", "text", "lang", "source", "doc_id")  # MAX_LABELLED + MAX_POOL ids
-    seen = texts.select("label", "text", "lang", "source").mapInArrow(_sampled, _SAMPLE)
-    rows = [{"label": r.label, "numbers": np.array(r.numbers, np.int64), "stats": r.stats, "keys": metadata_keys(r.lang, r.source, r.size)} for r in seen.toLocalIterator()]
-    rows.sort(key=lambda r: (len(r["numbers"]), r["numbers"].tobytes(), r["keys"]))  # rows arrive in any order
-    return co_train(rows, rounds)
+    told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("label"))
+    chosen = written(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "lang", "source")  # max_labelled ids
+    rows = list(texts.mapInArrow(_sampled, _SAMPLE).withColumn("chance", F.xxhash64("doc_id")).toLocalIterator())
+    # Rows arrive in any order.
+    rows.sort(key=lambda r: (r.chance, r.doc_id, np.array(r.numbers, np.int64).tobytes(), str(r.lang), str(r.source), r.size))
+    sample = Sample(Rows.of([r.numbers for r in rows]), np.array([r.stats for r in rows]).reshape(-1, STATS), [metadata_keys(r.lang, r.source, r.size) for r in rows], np.array([r.label for r in rows], np.int64))
+    kept: list[DataFrame] = []
+
+    def teach(model: Model, trusted: dict[str, list[int]]) -> dict[str, Taught]:
+        if not kept:
+            kept.append(_unlabelled(docs, told, model))
+        return _taught(kept[0], model, trusted)
+
+    return co_train(sample, teach, rounds)
 
 
 def _parts(model: Model, text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of either view and the score of each row."""
-    n = len(text)
-    t, m = np.zeros(n), np.zeros(n)
-    if model.text is not None:
-        sizes = pc.binary_length(text_column(text)).to_pylist()
-        m = model.metadata.logits(model.metadata_rows([metadata_keys(*k) for k in zip(lang.to_pylist(), source.to_pylist(), sizes)]))
-        for low, high, numbers, offsets, stats in text_view(text):
-            t[low:high] = model.text.logits(model.text_rows(numbers, offsets, stats))
+    """Calibrated logits of either view, and the score, of each row."""
+    t, m = np.zeros(len(text)), np.zeros(len(text))
+    if model.views:
+        for low, high, rows in _views(model, text, lang, source):
+            t[low:high], m[low:high] = (model.calibrated(v, rows[v]) for v in VIEWS)
     return t, m, model.scores(t, m)
 
 
@@ -252,8 +414,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             t, m, s = _parts(shared.value, *batch.columns[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t), pa.array(m), pa.array(s), pa.array(s >= 0.5)], names=["doc_id", "text_logit", "metadata_logit", "score", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    return rows.mapInArrow(rate, "doc_id long, text_logit double, metadata_logit double, score double, keep boolean")
+    return _columns(docs).mapInArrow(rate, "doc_id long, text_logit double, metadata_logit double, score double, keep boolean")
 
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
