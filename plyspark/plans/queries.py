@@ -79,9 +79,13 @@ FROM spine s LEFT JOIN counted c ON c.encoded_move = s.encoded_move AND c.bucket
 
 
 def _slice_sql(key: int, depth: int, source: str) -> str:
-    return f"""slice AS (
-  SELECT r.game_id, r.ply AS root_ply, c.ply - r.ply AS depth, c.encoded_move, c.zobrist_hash AS child_hash, c.result, c.white_elo, c.black_elo
-  FROM (SELECT * FROM {source} WHERE zobrist_hash = {key}) r JOIN pos c ON c.game_id = r.game_id AND c.ply > r.ply AND c.ply <= r.ply + {depth})"""
+    """An occurrence meets the plies behind it on (game, ply), one depth after another: an equal join for each."""
+    deep = f"(SELECT game_id, ply AS root_ply, CAST(unnest(generate_series(1, {depth})) AS INTEGER) AS depth FROM {source} WHERE zobrist_hash = {key})"
+    return f"""roots AS MATERIALIZED {deep},
+plies AS MATERIALIZED (SELECT game_id, ply, encoded_move, zobrist_hash, result, white_elo, black_elo FROM pos),
+slice AS (
+  SELECT r.game_id, r.root_ply, r.depth, c.encoded_move, c.zobrist_hash AS child_hash, c.result, c.white_elo, c.black_elo
+  FROM roots r JOIN plies c ON c.game_id = r.game_id AND c.ply = r.root_ply + r.depth)"""
 
 
 def _edges_sql(key: int, depth: int, source: str) -> str:
@@ -163,7 +167,7 @@ QUERIES = {
     "opening_stats": lambda s, d: stats.opening_stats(position_of(s, d), ROOT).select(*STATS_COLUMNS),
     "opening_stats_start": lambda s, d: stats.opening_stats(position_of(s, d), 0).select(*STATS_COLUMNS),
     "opening_stats_filtered": lambda s, d: stats.opening_stats(position_of(s, d), ROOT, _ids(s, d)).select(*STATS_COLUMNS),
-    "opening_stats_attributed": lambda s, d: stats.attributed(stats.opening_stats(position_of(s, d), ROOT), games.game_contexts(games_of(s, d).where("id % 2 = 0"), _tags(s, d))).select("encoded_move", "child_hash", "sample_id", "eco", "opening_name"),
+    "opening_stats_attributed": lambda s, d: stats.attributed(stats.opening_stats(position_of(s, d), ROOT), games.game_contexts(games_of(s, d), _tags(s, d))).select("encoded_move", "child_hash", "sample_id", "eco", "opening_name"),
     "elo_distribution": lambda s, d: stats.elo_distribution(position_of(s, d), ROOT, 100),
     "elo_distribution_filtered": lambda s, d: stats.elo_distribution(position_of(s, d), ROOT, 25, _ids(s, d)),
     "opening_tree_edges": lambda s, d: tree.opening_tree_edges(position_of(s, d), ROOT, 4).drop("sample_root_ply"),
@@ -179,15 +183,15 @@ QUERIES = {
     "find_game_ids": lambda s, d: _ids(s, d),
     "game_count": lambda s, d: games_of(s, d).agg(F.count("*").alias("n")),
     "get_game": lambda s, d: games.get_game(games_of(s, d), _tags(s, d), 33).selectExpr("id", "white", "black", "result", "concat_ws(',', transform(tags, t -> concat(t.name, '=', t.value))) AS tags"),
-    "game_contexts": lambda s, d: games.game_contexts(games_of(s, d), _tags(s, d), games_of(s, d).where("id % 9 = 0").select("id")),
+    "game_contexts": lambda s, d: games.game_contexts(games_of(s, d), _tags(s, d)),
     "dim_upsert": lambda s, d: changes.new_dimension_rows(_named(s, d), _existing(s, d), ["elo", "country"]),
     "game_dedup": lambda s, d: changes.dedup_games(_identified(s, d), None).select("id"),
     "game_dedup_existing": lambda s, d: changes.dedup_games(_identified(s, d).where("id % 2 = 0"), _identified(s, d).where("id % 2 = 1")).select("id"),
-    "game_ids": lambda s, d: changes.with_ids(games_of(s, d).where("eco like '1%'").select(F.col("id").alias("seq")), 1, ["seq"]),
+    "game_ids": lambda s, d: changes.with_ids(games_of(s, d).select(F.col("id").alias("seq")), 1, ["seq"]),
     "delete_game": lambda s, d: changes.delete_games(position_of(s, d), games_of(s, d).where("id % 3 = 0"), "game_id").groupBy("game_id").agg(F.count("*").alias("n")),
     "patch_game": lambda s, d: changes.patch_games(_stored(s, d), _patches(s, d), ["result", "eco"]).select("id", "result", "eco", "source_type"),
     "set_provenance": lambda s, d: changes.set_provenance(_stored(s, d), _patches(s, d)).select("id", "source_type", "source_label", "review_status"),
-    "replace_notes": lambda s, d: changes.replace_notes(_tags(s, d), games_of(s, d).where("id % 50 = 0").select("id", F.when(F.col("id") % 100 == 0, "").otherwise("note").alias("notes")), "Round").where("game_id % 50 = 0"),
+    "replace_notes": lambda s, d: changes.replace_notes(_tags(s, d), games_of(s, d).where("id % 50 = 0").select("id", F.when(F.col("id") % 100 == 0, "").otherwise("note").alias("notes")), "Round"),
     "elo_sync": lambda s, d: changes.sync_elo(position_of(s, d), _patches(s, d)).groupBy("game_id").agg(F.max("white_elo").alias("white_elo"), F.min("black_elo").alias("black_elo"), F.count("*").alias("n")),
     "import_summary": lambda s, d: changes.import_summary(_parsed(s, d)),
     "clustered_sink": lambda s, d: search.clustered(position_of(s, d)).groupBy("zobrist_hash").agg(F.count("*").alias("n"), F.min("game_id").alias("low"), F.max("game_id").alias("high")),
@@ -211,7 +215,7 @@ ORACLE_SQL = {
     "opening_stats": _positions("", _stats_sql(ROOT, "pos")),
     "opening_stats_start": _positions("", _stats_sql(0, "pos")),
     "opening_stats_filtered": _both("", _IDS, _stats_sql(ROOT, _FILTERED)),
-    "opening_stats_attributed": _both("", _TAGS, "ctx AS (SELECT g.id, g.eco, t.opening_name FROM games g LEFT JOIN (SELECT game_id, arg_min(value, pos) AS opening_name FROM tags WHERE name = 'Opening' GROUP BY game_id) t ON t.game_id = g.id WHERE g.id % 2 = 0)", _stats_sql(ROOT, "pos", """SELECT encoded_move, child_hash, coalesce(a.id, b.id) AS sample_id, CASE WHEN a.id IS NOT NULL THEN a.eco ELSE b.eco END AS eco, CASE WHEN a.id IS NOT NULL THEN a.opening_name ELSE b.opening_name END AS opening_name
+    "opening_stats_attributed": _both("", _TAGS, "ctx AS (SELECT g.id, g.eco, t.opening_name FROM games g LEFT JOIN (SELECT game_id, arg_min(value, pos) AS opening_name FROM tags WHERE name = 'Opening' GROUP BY game_id) t ON t.game_id = g.id)", _stats_sql(ROOT, "pos", """SELECT encoded_move, child_hash, coalesce(a.id, b.id) AS sample_id, CASE WHEN a.id IS NOT NULL THEN a.eco ELSE b.eco END AS eco, CASE WHEN a.id IS NOT NULL THEN a.opening_name ELSE b.opening_name END AS opening_name
 FROM stats LEFT JOIN ctx a ON a.id = sample_min LEFT JOIN ctx b ON b.id = sample_max WHERE coalesce(a.id, b.id) IS NOT NULL""")),
     "elo_distribution": _positions("", _distribution_sql(ROOT, 100, "pos")),
     "elo_distribution_filtered": _both("", _IDS, _distribution_sql(ROOT, 25, _FILTERED)),
@@ -228,15 +232,15 @@ FROM stats LEFT JOIN ctx a ON a.id = sample_min LEFT JOIN ctx b ON b.id = sample
     "find_game_ids": _both("SELECT id FROM ids", _IDS),
     "game_count": _games("SELECT count(*) AS n FROM games"),
     "get_game": _both("SELECT id, white, black, result, coalesce(tags, '') AS tags FROM games LEFT JOIN (SELECT game_id, string_agg(name || '=' || value, ',' ORDER BY pos) AS tags FROM tags GROUP BY game_id) ON game_id = id WHERE id = 33", _TAGS),
-    "game_contexts": _both("SELECT id, eco, opening_name FROM games LEFT JOIN (SELECT game_id, arg_min(value, pos) AS opening_name FROM tags WHERE name = 'Opening' GROUP BY game_id) ON game_id = id WHERE id % 9 = 0", _TAGS),
+    "game_contexts": _both("SELECT id, eco, opening_name FROM games LEFT JOIN (SELECT game_id, arg_min(value, pos) AS opening_name FROM tags WHERE name = 'Opening' GROUP BY game_id) ON game_id = id", _TAGS),
     "dim_upsert": _games("SELECT white AS name, white_elo AS elo, event AS country, id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY white ORDER BY id) AS nth FROM games) WHERE nth = 1 AND white NOT IN (SELECT white FROM games WHERE white_id % 4 = 0)"),
     "game_dedup": _both(f"SELECT id {_FIRST}", _KEYED),
     "game_dedup_existing": _both(f"SELECT id {_FIRST.replace('FROM k)', 'FROM k WHERE id % 2 = 0) a')} AND NOT EXISTS (SELECT 1 FROM k b WHERE b.id % 2 = 1 AND b.white_id = a.white_id AND b.black_id = a.black_id AND b.event_id IS NOT DISTINCT FROM a.event_id AND b.result = a.result AND b.moves = a.moves)".replace("WHERE nth = 1 AND NOT", "WHERE a.nth = 1 AND NOT"), _KEYED),
-    "game_ids": _games("SELECT id AS seq, row_number() OVER (ORDER BY id) AS id FROM games WHERE eco LIKE '1%'"),
+    "game_ids": _games("SELECT id AS seq, row_number() OVER (ORDER BY id) AS id FROM games"),
     "delete_game": _both("SELECT game_id, count(*) AS n FROM pos WHERE game_id NOT IN (SELECT id FROM games WHERE id % 3 = 0) GROUP BY game_id"),
     "patch_game": _games("SELECT id, CASE WHEN id % 40 = 0 THEN '1-0' ELSE result END AS result, CASE WHEN id % 20 = 0 THEN 'patched' ELSE eco END AS eco, source_type FROM stored", _STORED),
     "set_provenance": _games("SELECT id, source_type, CASE WHEN id % 4 = 0 THEN 'label' END AS source_label, CASE WHEN id % 4 = 0 THEN 'studied' ELSE 'new' END AS review_status FROM stored", _STORED),
-    "replace_notes": _both("""SELECT game_id, pos, name, value FROM tags WHERE game_id % 50 = 0 AND NOT (name = 'Round' AND game_id IN (SELECT id FROM games WHERE id % 50 = 0))
+    "replace_notes": _both("""SELECT game_id, pos, name, value FROM tags WHERE NOT (name = 'Round' AND game_id IN (SELECT id FROM games WHERE id % 50 = 0))
 UNION ALL SELECT g.id AS game_id, CAST(coalesce(max(t.pos), -1) + 1 AS INTEGER) AS pos, 'Round' AS name, 'note' AS value
 FROM games g LEFT JOIN (SELECT * FROM tags WHERE name <> 'Round') t ON t.game_id = g.id WHERE g.id % 50 = 0 AND g.id % 100 <> 0 GROUP BY g.id""", _TAGS),
     "elo_sync": _both("SELECT p.game_id, max(CASE WHEN g.id IS NOT NULL AND g.id % 4 = 0 AND g.id % 3 = 0 THEN 2000 ELSE p.white_elo END) AS white_elo, min(p.black_elo) AS black_elo, count(*) AS n FROM pos p LEFT JOIN games g ON g.id = p.game_id GROUP BY p.game_id"),
