@@ -1,12 +1,13 @@
 """Benchmark decontamination: finds test items inside documents by containment of word shingles.
 
 A document holds an item when at least 75 % of the item's distinct five-word shingles occur in it.
-Items are partitioned by size.  In the partition of items with q shingles, an item's sketch is its
-k = q - ceil(0.75 q) + 1 smallest shingles in one fixed order (shingles of few items first, then by
-hash): a MinHash bottom-k sketch whose length follows the size, so that a document holding 75 % of the
-item must hold one of the k.  Banded signatures of whole documents cannot do that: a 30-shingle item in
-a 20,000-word document has a resemblance near 0.001.  Documents are streamed past the index of sketches;
-documents too small for a partition skip it; every hit is verified on exact shingle sets.
+Items are partitioned by size.  In the partition of items with q shingles, an item's sketch is its bottom-k
+MinHash signature, its k shingles of the smallest hashes, with k = q - ceil(0.75 q) + 1: a document that holds
+75 % of the item misses at most k - 1 of its shingles, so it holds one of the k, and recall is 1.  The share of
+the k that a document holds estimates the containment without bias, as the k are a random sample of the item;
+a hit is then verified on exact shingle sets.  Signatures of the documents are of no use here: a 30-shingle
+item in a 20,000-word document has a resemblance near 0.001, so the smallest hashes of such a document are
+hardly ever the item's.  Documents are streamed past the index; those too small for a partition skip it.
 
 Items are a stated query set: they are read in blocks of bounded size and each block is broadcast to one
 pass over the documents, so any number of items works in the same memory.
@@ -42,12 +43,11 @@ class Sketches:
         self.ids, self.percent = ids, percent
         sets = [(values[a:b]) for _, _, values, offsets in shingle_sets(pa.array(texts, pa.large_string()), False) for a, b in zip(offsets[:-1], offsets[1:])]
         self.sets = sets
-        every, frequency = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
         by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, own in enumerate(sets):
             if len(own):
-                order = np.lexsort((own, frequency[np.searchsorted(every, own)]))
-                by_size.setdefault(len(own).bit_length(), []).append((own[order[: len(own) - self.least(len(own)) + 1]], item))
+                # Hashes ascend, so the first k are the bottom-k signature.
+                by_size.setdefault(len(own).bit_length(), []).append((own[: len(own) - self.least(len(own)) + 1], item))
         # One size partition after another: (smallest number of shingles a holder has, hashes, items).
         self.partitions = []
         for _, members in sorted(by_size.items()):

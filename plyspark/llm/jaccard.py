@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import may_contain, prepare, with_flag, without, written
+from .common import prepare, split_by, without, written
 from .components import components
 from .shingles import shingle_sets, signed
 from .textkernel import mix
@@ -45,8 +45,12 @@ GROUPS = 256
 SLOTS, CHUNKS = 1 << 20, 32
 #: Points of one block of a large collection, and of one leaf of a tree.
 BLOCK, LEAF = 4096, 32
+#: Boxes below an inner node of a tree, and pairs of boxes that are compared at once.
+FAN, BOXES = 8, 4096
 #: Beside the first class of its collection, a class meets so many that follow it in one order of all classes.
 AHEAD = 3
+#: A class with more than one in so many rows is joined by a broadcast.
+HOT = 1000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -154,28 +158,69 @@ def prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
 
 
 class Tree:
-    """A bulk-loaded R-tree: leaves of LEAF points, boxes kept by their largest coordinates and sizes."""
+    """A bulk-loaded R-tree: leaves of LEAF points, inner nodes of FAN boxes.  A box keeps the largest coordinates
+    and the smallest and largest size of what is below it; level 0 are the leaves, the last level has one box."""
 
     def __init__(self, at: np.ndarray, n: np.ndarray):
         self.order = np.lexsort((at[:, :8].argmax(1), n))  # linked sets have like sizes
         at, n = at[self.order], n[self.order]
         cuts = np.arange(0, len(n), LEAF)
         self.at, self.n, self.cuts = at, n, np.append(cuts, len(n))
-        self.top = np.maximum.reduceat(at, cuts, axis=0)
-        self.small, self.large = np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
+        self.top = [np.maximum.reduceat(at, cuts, axis=0)]
+        self.small, self.large = [np.minimum.reduceat(n, cuts)], [np.maximum.reduceat(n, cuts)]
+        while len(self.small[-1]) > 1:
+            cuts = np.arange(0, len(self.small[-1]), FAN)
+            self.top.append(np.maximum.reduceat(self.top[-1], cuts, axis=0))
+            self.small.append(np.minimum.reduceat(self.small[-1], cuts))
+            self.large.append(np.maximum.reduceat(self.large[-1], cuts))
+
+    def below(self, level: int, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The boxes below those of a level, and for each which of `boxes` it is below."""
+        first = boxes * FAN
+        number = np.minimum(first + FAN, len(self.small[level - 1])) - first
+        of = np.repeat(np.arange(len(boxes)), number)
+        return first[of] + np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number), of
 
     def pairs(self, other: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (of self, of other) whose bound reaches what their sizes need."""
-        for i in range(len(self.small)):
-            boxes = np.flatnonzero((self.large[i] * 100 >= PERCENT * other.small) & (other.large * 100 >= PERCENT * self.small[i]))
-            boxes = boxes[np.minimum(other.top[boxes], self.top[i]).sum(1) >= need(self.small[i], other.small[boxes])]
-            a = slice(self.cuts[i], self.cuts[i + 1])
-            for j in boxes.tolist():
-                b = slice(other.cuts[j], other.cuts[j + 1])
-                bound = np.minimum(self.at[a][:, None], other.at[b][None]).sum(2)
-                x, y = np.nonzero(bound >= need(self.n[a][:, None], other.n[b][None]))
-                if len(x):
-                    yield self.order[x + a.start], other.order[y + b.start]
+        """Index pairs (of self, of other) whose bound reaches what their sizes need, by descending both trees
+        together; each pair of points of one tree comes once."""
+        todo = [(len(self.small) - 1, len(other.small) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            x, y, i, j = todo.pop()
+            if len(i) > BOXES:
+                todo += [(x, y, i[k : k + BOXES], j[k : k + BOXES]) for k in range(0, len(i), BOXES)]
+                continue
+            small, large, small_, large_ = self.small[x][i], self.large[x][i], other.small[y][j], other.large[y][j]
+            keep = (large * 100 >= PERCENT * small_) & (large_ * 100 >= PERCENT * small)
+            keep[keep] = np.minimum(self.top[x][i[keep]], other.top[y][j[keep]]).sum(1) >= need(small[keep], small_[keep])
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            if x == y == 0:
+                yield from self._points(other, i, j)
+                continue
+            if x >= y:
+                i, of = self.below(x, i)
+                j, x_ = j[of], x - 1
+            else:
+                x_ = x
+            y_ = y
+            if y >= x:
+                j, of = other.below(y, j)
+                i, y_ = i[of], y - 1
+            if other is self:
+                i, j = i[i <= j], j[i <= j]
+            todo.append((x_, y_, i, j))
+
+    def _points(self, other: Tree, leaves: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in zip(leaves.tolist(), others.tolist(), strict=True):
+            a, b = slice(self.cuts[i], self.cuts[i + 1]), slice(other.cuts[j], other.cuts[j + 1])
+            bound = np.minimum(self.at[a][:, None], other.at[b][None]).sum(2)
+            p, q = np.nonzero(bound >= need(self.n[a][:, None], other.n[b][None]))
+            if other is self and i == j:
+                p, q = p[p < q], q[p < q]
+            if len(p):
+                yield self.order[p + a.start], other.order[q + b.start]
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +243,6 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = a if same else Tree(folded(y[0], groups), y[1])
                 for i, j in a.pairs(b):
                     keep = x[3][i] != y[3][j]
-                    if same:
-                        keep &= x[2][i] < y[2][j]
                     # A pair that meets in several collections counts in the first of them only.
                     for k in np.flatnonzero(keep).tolist():
                         mine, theirs_ = x[4][i[k]], y[4][j[k]]
@@ -269,7 +312,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     """The pairs of classes (a, b) that are linked; sets are made anew from the texts of the classes concerned."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep", "c1", "c2"), "node")
     wanted = written(wanted, "wanted")
-    some = with_flag(docs, "doc_id", may_contain(wanted, "rep")).where("_flag").drop("_flag")
+    some, _ = split_by(docs, "doc_id", wanted, "rep")
     made = some.mapInArrow(_sets, "doc_id long, c1 long, c2 long, own binary").alias("s")
     w = wanted.alias("w")
     sets = made.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("s.c1") == F.col("w.c1")) & (F.col("s.c2") == F.col("w.c2")))
@@ -285,7 +328,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(docs.mapInArrow(_summaries, _ROWS), "summaries")
     texts = rows.where("kind = 0")
-    classes = texts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("payload").alias("point"))
+    classes = texts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("payload").alias("point"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     sig = W.partitionBy("sig")
@@ -329,10 +372,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     least = found.join(classes.select("node", "rep", "c1", "c2"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("c1", "c2", "component_id")
-    every = classes.select("c1", "c2", "rep").join(least, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
+    every = classes.select("c1", "c2", "rep", "copies").join(least, ["c1", "c2"], "left")
+    every = every.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    every = written(every, "classes")
     out = texts.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "c1", "c2")
-    every = every.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component_id")
-    out = out.join(every, (F.col("n_shingles") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    # A class with more than one row in HOT of all goes to every task, of which there are at most HOT; the rows of
+    # the others are dealt by class.
+    hot = F.broadcast(every.where(F.col("copies") * HOT > every.agg(F.sum("copies")).first()[0]).drop("copies")) if not every.isEmpty() else every.drop("copies")
+    same = (F.col("n_shingles") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))
+    cold = out.join(hot, same, "left_anti").join(every.drop("copies"), same, "left")
+    out = out.join(hot, same).unionByName(cold)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c1").alias("class1"), F.col("c2").alias("class2"))
 
 
@@ -344,5 +393,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = written(jaccard_components(docs, id_col, text_col), "found")
     dropped = found.where("doc_id <> component_id").select("doc_id")
     repeated = found.where("doc_id is not null").groupBy("doc_id", "class1", "class2").count().where("count > 1").select("doc_id")
-    kept = with_flag(without(docs, id_col, dropped, "doc_id"), id_col, may_contain(repeated, "doc_id"))
-    return kept.where("not _flag").drop("_flag").unionByName(kept.where("_flag").drop("_flag").dropDuplicates([id_col, text_col]))
+    some, plain = split_by(without(docs, id_col, dropped, "doc_id"), id_col, repeated, "doc_id")
+    return plain.unionByName(some.dropDuplicates([id_col, text_col]))

@@ -2,11 +2,16 @@
 
 A window is 20 consecutive words.  Its fingerprint is the smallest hash of the eight-word spans in it:
 equal windows have equal fingerprints, and neighbouring windows mostly share one, so an index holds about
-one fingerprint for seven windows.  A batch of documents becomes a run: (fingerprint, document) sorted by
-fingerprint, written once and never changed.  The run is merge-joined with the runs before it; windows
-whose fingerprint occurs elsewhere are candidates, and only those are verified, by two independent 64-bit
-hashes of all their words.  Of equal windows, all but the first (by document id, then start) are repeats.
-When more than FANOUT runs have gathered they are compacted into one sorted run.
+one fingerprint for seven windows.  (An entry for each window would take five times the disk of the texts.)
+A batch of documents becomes a run: (fingerprint, document) sorted by fingerprint, written once and never
+changed.  The run is merge-joined with the runs before it; windows whose fingerprint occurs elsewhere are
+candidates, and only those are verified, by two independent 64-bit hashes of all their words.  Of equal
+windows, all but the first (by document id, then start) are repeats.  When more than FANOUT runs have
+gathered they are compacted into one sorted run.
+
+Most repeats are found where they are read: a task remembers windows, and one that has met an equal window
+with an earlier place is a repeat whatever else there is.  Only windows that might be first are dealt by
+their hashes, so that a passage in a third of all documents sends a few rows of each task to one place.
 
 Batches are to arrive in ascending order of document ids; history stays as it is, and only the batch's
 documents are judged, against history and each other.
@@ -28,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import may_contain, prepare, shared_dir, with_flag, written
+from .common import prepare, shared_dir, split_by, written
 from .textkernel import Words, distinct, slices
 
 WINDOW, SPAN = 20, 8
 #: Runs beyond this many are compacted.
-FANOUT = 4
+FANOUT = 2
+#: Windows that a task remembers, about 50 bytes each.
+REMEMBERED = 300_000
 SEEDS = (21, 22)
 FIRST = -(1 << 63)  # stands for a null id
 RUN = "fp long, doc_id long, again boolean"
@@ -83,8 +90,67 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values[begins].view(np.int64)), pa.array(ids[low + owner[begins]]), pa.array(again)], names=["fp", "doc_id", "again"])
 
 
+class Firsts:
+    """The earliest places of windows that a task has met, as far as it remembers."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit = limit or REMEMBERED
+        self.w1 = self.w2 = np.zeros(0, np.uint64)
+        self.doc, self.start, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether an equal window with an earlier place has been met, here or before.  Windows that share one of
+        their two hashes only are neither late nor remembered."""
+        if not len(w1):
+            return np.zeros(0, bool)
+        place = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 32 | start  # rows with one id are one document
+        order = np.argsort(w1)
+        a, b, at = w1[order], w2[order], place[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        heads = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        late = at > np.minimum.reduceat(at, heads)[group]
+        mixed = np.zeros(len(heads), bool)
+        mixed[group[b != b[heads][group]]] = True
+        least = np.flatnonzero(~late)
+        least = least[np.concatenate([[True], group[least][1:] != group[least][:-1]])]  # a row of each group's first place
+        spot = np.searchsorted(self.w1, a[heads])
+        inside = np.minimum(spot, max(len(self.w1) - 1, 0))
+        taken = self.w1[inside] == a[heads] if len(self.w1) else np.zeros(len(heads), bool)
+        met = taken & (self.w2[inside] == b[heads]) & ~mixed if len(self.w1) else taken
+        known, mine = spot[met], order[least[met]]
+        before = (self.doc[known] < doc[mine]) | ((self.doc[known] == doc[mine]) & (self.start[known] < start[mine]))
+        beaten = np.zeros(len(heads), bool)
+        beaten[np.flatnonzero(met)[before]] = True
+        late = (late | beaten[group]) & ~mixed[group]
+        self.doc[known[~before]], self.start[known[~before]] = doc[mine[~before]], start[mine[~before]]
+        self.hits[known] += 1
+        fresh = ~taken & ~mixed
+        spot, mine = spot[fresh], order[least[fresh]]
+        self.w1, self.w2 = np.insert(self.w1, spot, w1[mine]), np.insert(self.w2, spot, w2[mine])
+        self.doc, self.start, self.hits = np.insert(self.doc, spot, doc[mine]), np.insert(self.start, spot, start[mine]), np.insert(self.hits, spot, 0)
+        if len(self.w1) > self.limit:
+            self._forget()
+        out = np.empty(len(late), bool)
+        out[order] = late
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the windows met most often, a quarter of the room at most."""
+        enough = max(1, int(np.sort(self.hits)[-self.limit // 4]))
+        keep = self.hits > enough if (self.hits >= enough).sum() > self.limit // 2 else self.hits >= enough
+        self.w1, self.w2, self.doc, self.start, self.hits = (x[keep] for x in (self.w1, self.w2, self.doc, self.start, self.hits))
+        self.hits //= 2
+
+
+CANDIDATE = "w1 long, w2 long, doc_id long, start int, starts array<int>"
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc_id, start) of the windows whose fingerprint is listed for their document."""
+    """Of the windows whose fingerprint is listed for their document: (w1, w2, doc_id, start) of those that may be
+    first, and a row with the starts of each document's windows that are not (start -1, w1 and w2 any)."""
+    firsts = Firsts()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         lists = batch.column(2)
@@ -103,9 +169,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(own):
                     mine = fp[cuts[t] : cuts[t + 1]]
                     keep[cuts[t] : cuts[t + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
-            w1, _ = words.windows(WINDOW, hashes, SEEDS[0])
-            w2, _ = words.windows(WINDOW, words.hashes(SEEDS[1]), SEEDS[1])
-            yield pa.RecordBatch.from_arrays([pa.array(w1[keep].view(np.int64)), pa.array(w2[keep].view(np.int64)), pa.array(ids[low + text[keep]]), pa.array(start[keep].astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
+            w1, w2 = (words.windows(WINDOW, words.hashes(seed) if seed != SEEDS[0] else hashes, seed)[0][keep] for seed in SEEDS)
+            text, start = text[keep], start[keep]
+            late = firsts.later(w1, w2, ids[low + text], start)
+            n, first = int((~late).sum()), np.flatnonzero(~late)
+            yield pa.RecordBatch.from_arrays([pa.array(w1[first].view(np.int64)), pa.array(w2[first].view(np.int64)), pa.array(ids[low + text[first]]), pa.array(start[first].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], names=_names(CANDIDATE))
+            owners, cuts = np.unique(text[late], return_index=True)
+            if len(owners):
+                starts = pa.ListArray.from_arrays(pa.array(np.append(cuts, int(late.sum())).astype(np.int32)), pa.array(start[late].astype(np.int32)))
+                doc = pa.array(ids[low + owners])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.arange(len(owners))), doc, pa.array(np.full(len(owners), -1, np.int32)), starts], names=_names(CANDIDATE))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -182,15 +259,15 @@ class FingerprintIndex:
 def repeats(batch: DataFrame, everything: DataFrame, index: FingerprintIndex) -> DataFrame:
     """(doc_id, starts) of the batch's windows that are repeats; everything: documents of batch and history."""
     candidates = index.append(batch)
-    some = with_flag(everything, "doc_id", may_contain(candidates, "doc_id")).where("_flag").drop("_flag")
+    some, _ = split_by(everything, "doc_id", candidates, "doc_id")
     listed = some.join(candidates, "doc_id").select("doc_id", "text", "fps")
-    windows = listed.mapInArrow(_candidates, "w1 long, w2 long, doc_id long, start int")
-    place = F.rank().over(W.partitionBy("w1", "w2").orderBy("doc_id", "start"))
-    again = windows.withColumn("place", place).where("place > 1").select("doc_id", "start").distinct()
-    return written(again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "repeats")
+    windows = listed.mapInArrow(_candidates, CANDIDATE)
+    place = F.rank().over(W.partitionBy("w1", "w2", F.col("start") < 0).orderBy("doc_id", "start"))
+    again = windows.withColumn("place", place).where("place > 1 or start < 0").select("doc_id", F.coalesce("starts", F.array("start")).alias("starts"))
+    return written(again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as batches by ascending id, each deduplicated against those before: columns of RESULT, and kept (text)."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark)
@@ -206,8 +283,8 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, i
         starts.append(found if low is None else found.where(F.col("doc_id") > low))
         index.compact()
     marked = reduce(DataFrame.unionAll, starts)
-    flagged = with_flag(docs, "doc_id", may_contain(marked, "doc_id"))
-    met = flagged.where("_flag").join(marked, "doc_id", "left").select("doc_id", "text", "starts")
-    plain = flagged.where("not _flag").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    met, plain = split_by(docs, "doc_id", marked, "doc_id")
+    met = met.join(marked, "doc_id", "left").select("doc_id", "text", "starts")
+    plain = plain.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
     out = met.mapInArrow(_result(with_text), schema).unionAll(plain.mapInArrow(_result(with_text), schema))
     return out.withColumn("doc_id", F.when(F.col("doc_id") > FIRST, F.col("doc_id")))
