@@ -315,3 +315,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, confidence: float
     nearest_first = W.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
     out = out.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+
+
+#: The query in DuckDB, over all pairs of a query and a candidate.
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE list_count(embedding) = len(embedding) AND len(embedding) > 0)
+  WHERE isfinite(list_sum(x)) AND isfinite(list_max(x)) AND isfinite(list_min(x)) AND (list_max(x) <> 0 OR list_min(x) <> 0)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON len(q.x) = len(c.x) AND q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
+"""

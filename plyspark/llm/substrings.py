@@ -288,3 +288,19 @@ def remove_repeats(docs: DataFrame, batches: int = 3, with_text: bool = False, i
     plain = plain.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
     out = met.mapInArrow(_result(with_text), schema).unionAll(plain.mapInArrow(_result(with_text), schema))
     return out.withColumn("doc_id", F.when(F.col("doc_id") > FIRST, F.col("doc_id")))
+
+
+#: The query in DuckDB, by the words of the windows themselves.
+REPEATS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT doc_id, i AS start, array_to_string(list_slice(w, i, i + 19), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, CAST(len(w) AS BIGINT) - 19)) AS i FROM w)),
+f AS (SELECT doc_id, start, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS nth FROM g),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + 19)) AS place FROM f WHERE nth > 1),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, CAST(len(w) AS BIGINT))) AS place FROM w),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.place) AS kept, count(*) AS n FROM p ANTI JOIN r ON r.doc_id = p.doc_id AND r.place = p.place GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
