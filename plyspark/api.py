@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.board import Board, InvalidFen, InvalidMove, replayed
 from .functions.columns import move_info, move_san_at
+from .functions.engine import Ended, Limits, NotFound, Sessions
 from .operators import changes, games, search, stats
 from .operators.filters import DEFAULT_LIMIT, GameFilter, page_limit
 from .plans import ingest
 from .sources.bundle import Bundle
-from .sources.pgn import to_pgn
+from .sources.pgn import open_path, to_pgn
 
+#: Imports that have ended and are still told of.
+KEPT_SESSIONS = 64
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 Response = tuple[int, Any]
 _UCI = re.compile(r"[a-h][1-8][a-h][1-8][qrbn]?")
@@ -91,6 +97,7 @@ class Service:
     def __init__(self, bundle: Bundle):
         self.bundle = bundle
         self.sessions: dict[str, dict] = {}
+        self.engines = Sessions()
         self._busy = threading.Lock()
 
     def _games(self) -> DataFrame:
@@ -123,7 +130,7 @@ class Service:
         named = named.withColumn("san", move_san_at("moves", "sample_ply", "encoded_move"))
         total = search.count_distinct_games(position, key, ids).first().n
         keep = ("san", "frequency", "white_wins", "draws", "black_wins", "avg_white_elo", "avg_black_elo", "eco", "opening_name")
-        rows = sorted(named.collect(), key=lambda r: (-r.frequency, r.san.encode()))  # the moves of one position
+        rows = stats.in_order(named).collect()  # the moves of one position
         out = [{k: r[k] for k in keep} | {"result_hash": _text(r.child_hash)} for r in rows]
         return 200, {"total_games": total, "continuations": out}
 
@@ -268,27 +275,64 @@ class Service:
         self.bundle.commit(replace=replace, append={k: spark.createDataFrame(v, schemas[k]) for k, v in append.items()}, next_ids=ids)
         return self.get_game(number)
 
+    def count_games(self) -> Response:
+        return 200, {"count": self.bundle.table("game").count()}
+
+    def rebuild_positions(self) -> Response:
+        try:
+            ingest.rebuild_positions(self.bundle)
+        except Exception:  # whatever failed, the old table is current still
+            return _error(500, "position store rebuild failed")
+        return 204, None
+
     # --- imports ---
 
     def start_import(self, path: Any) -> Response:
-        """Runs an import to its end in a thread; one at a time."""
+        """Runs an import of a readable file to its end in a thread; one at a time."""
         if not isinstance(path, str) or not path:
             return _error(400, "invalid request body")
+        try:
+            fs, inner = open_path(path)
+            found = fs.get_file_info(inner).type == pafs.FileType.File
+        except (OSError, ValueError):
+            found = False
+        return self._import(path) if found else _error(400, "file not found or not readable")
+
+    def upload_import(self, content: bytes | None) -> Response:
+        """The same of bytes that a client sends; they stay in the bundle's folder while the import runs."""
+        if content is None:
+            return _error(400, "missing file field")
+        path = f"{self.bundle.path}/_uploads/{uuid.uuid4().hex}.pgn"
+        fs, inner = open_path(path)
+        try:
+            fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(inner) as out:
+                out.write(content)
+        except OSError:
+            return _error(500, "failed to write temporary file")
+        return self._import(path, after=lambda: fs.delete_file(inner))
+
+    def _import(self, path: str, after: Callable[[], None] = lambda: None) -> Response:
         if not self._busy.acquire(blocking=False):
+            after()
             return _error(409, "import already running")
-        key = uuid.uuid4().hex
-        session = self.sessions[key] = {"phase": "running"}
-        for old in [k for k, v in self.sessions.items() if v["phase"] != "running"][:-64]:
+        key, context = uuid.uuid4().hex, self.bundle.spark.sparkContext
+        session = self.sessions[key] = {"phase": "ingesting", "began": time.monotonic(), "cancelled": False}
+        for old in [k for k, v in self.sessions.items() if "ended" in v][:-KEPT_SESSIONS]:
             del self.sessions[old]
 
         def run() -> None:
             try:
+                context.addJobTag(f"import-{key}")
                 done = ingest.import_pgn(self.bundle, path)
                 session.update(vars(done), phase="complete")
             except Exception as e:  # the session tells
-                session.update(phase="failed", error=str(e)[:500])
+                session.update(phase="cancelled") if session["cancelled"] else session.update(phase="failed", error=str(e)[:500])
             finally:
+                context.removeJobTag(f"import-{key}")
+                session["ended"] = time.monotonic()
                 self._busy.release()
+                after()
 
         session["thread"] = threading.Thread(target=run, daemon=True)
         session["thread"].start()
@@ -296,4 +340,96 @@ class Service:
 
     def import_progress(self, key: str) -> Response:
         session = self.sessions.get(key)
-        return (200, {k: v for k, v in session.items() if k != "thread"}) if session else _error(404, "not found")
+        hidden = ("thread", "began", "ended", "cancelled")
+        return (200, {k: v for k, v in session.items() if k not in hidden}) if session else _error(404, "import not found")
+
+    def import_events(self, key: str, poll: float = 0.25, longest: float = 1800.0) -> Response:
+        """(event, data) pairs of an import: progress every `poll` seconds, then complete or error."""
+        session = self.sessions.get(key)
+        if not session:
+            return _error(404, "import not found")
+
+        def events() -> Iterator[tuple[str, dict]]:
+            end = time.monotonic() + longest
+            while True:
+                ended = "ended" in session
+                done = {k: session.get(k, 0) for k in ("attempted", "committed", "skipped", "errors")}
+                seconds = session.get("ended", time.monotonic()) - session["began"]
+                yield "progress", {"games_processed": done["attempted"], "games_committed": done["committed"], "games_skipped": done["skipped"], "elapsed_seconds": round(seconds, 3), "phase": "idle" if ended else session["phase"]}
+                if ended and session["phase"] == "failed":
+                    yield "error", {"error": f"import failed: {session['error']}"}
+                    return
+                if ended:
+                    yield "complete", {"total_attempted": done.pop("attempted")} | done | {"elapsed_ms": int(seconds * 1000)}
+                    return
+                if time.monotonic() >= end:
+                    yield "error", {"error": "timed out waiting for import"}
+                    return
+                session["thread"].join(poll)
+
+        return 200, events()
+
+    def cancel_import(self, key: str) -> Response:
+        """Ends the import's Spark jobs; as tables are committed at once, nothing of it stays."""
+        session = self.sessions.get(key)
+        if not session:
+            return _error(404, "import not found")
+        if "ended" not in session:
+            session["cancelled"] = True
+            self.bundle.spark.sparkContext.cancelJobsWithTag(f"import-{key}")
+        return 200, {"status": "cancellation_requested"}
+
+    # --- engines ---
+
+    def configure_engine(self, body: Any) -> Response:
+        if not isinstance(body, dict) or not all(isinstance(body.get(k, ""), str) for k in ("name", "path")):
+            return _error(400, "invalid request body")
+        if not body.get("name") or not body.get("path"):
+            return _error(400, "name and path are required")
+        self.engines.configure(body["name"], body["path"])
+        return 200, {"status": "ok"}
+
+    def list_engines(self) -> Response:
+        return 200, {"engines": [{"name": n, "path": p} for n, p in self.engines.engines.items()]}
+
+    def start_analysis(self, body: Any) -> Response:
+        """Checks in the order of the fields' meaning: the board, then one of depth and time, lines, and their ranges."""
+        if not isinstance(body, dict) or not isinstance(body.get("fen", ""), str):
+            return _error(400, "invalid request body")
+        numbers = {k: body.get(k) for k in ("depth", "movetime_ms", "multipv")}
+        if any(v is not None and type(v) is not int for v in numbers.values()):
+            return _error(400, "invalid request body")
+        if not body.get("fen"):
+            return _error(400, "missing fen")
+        try:
+            Board(body["fen"])
+        except InvalidFen:
+            return _error(400, "invalid fen")
+        if (numbers["depth"] is None) == (numbers["movetime_ms"] is None):
+            return _error(400, "provide exactly one of depth or movetime_ms")
+        for k, low, high in (("multipv", 1, 5), ("depth", 1, 100), ("movetime_ms", 1, 300_000)):
+            if numbers[k] is not None and not low <= numbers[k] <= high:
+                return _error(400, f"{k} must be between {low} and {high}")
+        try:
+            key = self.engines.start(body["fen"], Limits(numbers["depth"], numbers["movetime_ms"], numbers["multipv"] or 1), body.get("engine") or None)
+        except NotFound:
+            return _error(503, "no engine configured")
+        except (OSError, RuntimeError):
+            return _error(503, "engine failed to start")
+        return 202, {"analysis_id": key}
+
+    def analysis_events(self, key: str) -> Response:
+        """(event, data) pairs: info, then complete or error."""
+        try:
+            return 200, self.engines.events(key)
+        except NotFound:
+            return _error(404, "analysis not found")
+
+    def stop_analysis(self, key: str) -> Response:
+        try:
+            self.engines.stop(key)
+        except NotFound:
+            return _error(404, "analysis not found")
+        except Ended:
+            return _error(409, "analysis already terminal")
+        return 204, None

@@ -68,6 +68,11 @@ def attributed(stats: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.select(*stats.columns, F.col("context.id").alias("sample_id"), ply.alias("sample_ply"), F.col("context.eco").alias("eco"), F.col("context.opening_name").alias("opening_name"))
 
 
+def in_order(named: DataFrame, san: str = "san") -> DataFrame:
+    """Continuations by frequency, the most frequent first, then by the bytes of their notation; those without come last."""
+    return named.orderBy(F.desc("frequency"), F.col(san).asc_nulls_last(), "encoded_move")
+
+
 def elo_distribution(position: DataFrame, key: int, width: int = DEFAULT_WIDTH, game_ids: DataFrame | None = None) -> DataFrame:
     """Results by move and bucket of mean rating, with empty buckets between a move's lowest and highest."""
     if width <= 0:

@@ -70,6 +70,63 @@ def test_import_sessions(service, tmp_path):
     assert service.delete_game(imported) == (403, {"error": "not editable"})
 
 
+def test_counts_rebuilds_uploads_and_events(service, tmp_path):
+    n = service.count_games()[1]["count"]
+    before = service.bundle.table("position").count()
+    assert service.rebuild_positions() == (204, None) and service.bundle.table("position").count() == before
+    assert service.start_import(str(tmp_path / "none.pgn")) == (400, {"error": "file not found or not readable"}) and service.start_import(str(tmp_path))[0] == 400
+    assert service.upload_import(None) == (400, {"error": "missing file field"})
+    status, body = service.upload_import(PGN.replace("Ann", "Fay").encode() + PGN.replace("Ann", "Fay").encode())
+    assert status == 202 and service.upload_import(b"x")[0] == 409
+    status, events = service.import_events(body["import_id"])
+    events = list(events)
+    assert status == 200 and {e for e, _ in events[:-1]} == {"progress"} and events[-1][0] == "complete"
+    assert {k: events[-1][1][k] for k in ("total_attempted", "committed", "skipped", "errors")} == {"total_attempted": 2, "committed": 1, "skipped": 1, "errors": 0}
+    assert service.count_games() == (200, {"count": n + 1})
+    assert service.cancel_import(body["import_id"]) == (200, {"status": "cancellation_requested"})
+    assert service.cancel_import("none") == service.import_events("none") == (404, {"error": "import not found"})
+
+
+def test_a_cancelled_import_leaves_nothing(service, tmp_path):
+    path = tmp_path / "many.pgn"
+    path.write_text("".join(PGN.replace("Ann", f"G{i}") for i in range(3000)))
+    n = service.count_games()
+    key = service.start_import(str(path))[1]["import_id"]
+    while "thread" not in service.sessions[key]:
+        pass
+    service.sessions[key]["thread"].join(1.0)
+    assert service.cancel_import(key)[0] == 200
+    service.sessions[key]["thread"].join()
+    phase = service.import_progress(key)[1]["phase"]
+    assert (phase, service.count_games()) == ("cancelled", n) or phase == "complete"
+    assert service.start_import(str(path))[0] == 202
+    list(service.import_events(list(service.sessions)[-1])[1])
+    assert service.count_games()[1]["count"] == n[1]["count"] + 3000
+
+
+def test_engine_sessions(service, tmp_path):
+    script = tmp_path / "engine.py"
+    script.write_text(f"#!{sys.executable}\n" + FAKE)
+    script.chmod(0o755)
+    fen = Board().fen()
+    assert service.start_analysis({"fen": fen, "depth": 3}) == (503, {"error": "no engine configured"})
+    assert service.configure_engine({"name": "", "path": "x"}) == (400, {"error": "name and path are required"}) and service.configure_engine([])[0] == 400
+    assert service.configure_engine({"name": "fake", "path": str(script)}) == (200, {"status": "ok"})
+    assert service.list_engines() == (200, {"engines": [{"name": "fake", "path": str(script)}]})
+    for body, message in (
+        ({}, "missing fen"), ({"fen": "x", "depth": 1}, "invalid fen"), ({"fen": fen}, "provide exactly one of depth or movetime_ms"), ({"fen": fen, "depth": 1, "movetime_ms": 1}, "provide exactly one of depth or movetime_ms"),
+        ({"fen": fen, "depth": 1, "multipv": 6}, "multipv must be between 1 and 5"), ({"fen": fen, "depth": 101}, "depth must be between 1 and 100"), ({"fen": fen, "movetime_ms": 300_001}, "movetime_ms must be between 1 and 300000"), ({"fen": fen, "depth": "1"}, "invalid request body"),
+    ):
+        assert service.start_analysis(body) == (400, {"error": message})
+    key = service.start_analysis({"fen": fen, "depth": 5})[1]["analysis_id"]
+    first = list(service.analysis_events(key)[1])
+    assert [e for e, _ in first] == ["info", "complete"] and first[0][1]["pv_san"] == ["e4", "e5"] and first[0][1]["score"] == {"type": "cp", "value": 31} and first[1][1] == {"best_move_uci": "e2e4", "ponder_uci": None}
+    assert list(service.analysis_events(key)[1]) == first  # told again to whoever asks late
+    assert service.stop_analysis(key) == (409, {"error": "analysis already terminal"}) and service.stop_analysis("none") == service.analysis_events("none") == (404, {"error": "analysis not found"})
+    service.configure_engine({"name": "gone", "path": str(tmp_path / "none")})
+    assert service.start_analysis({"fen": fen, "depth": 1, "engine": "gone"}) == (503, {"error": "engine failed to start"}) and service.start_analysis({"fen": fen, "depth": 1, "engine": "?"})[0] == 503
+
+
 FAKE = r"""
 import sys
 for line in sys.stdin:
