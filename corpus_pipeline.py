@@ -3,6 +3,13 @@
 Each stage works on all that its predecessor kept and is written as Parquet in the shared folder before
 the next begins.  All stages but the last return the columns of `documents`; the last returns a row per
 record read back from the files that it wrote.
+
+Defined results: a null text counts as empty, so it is judged by the metadata alone, is no near copy, holds
+no benchmark item, and, having no words, is never taken by the mix.  Documents with a null id are judged like
+others; nothing can name them, so near-duplicate removal and decontamination keep them.  Of equal rows one
+stays; rows that share an id but not a text are judged one by one, except that decontamination drops all rows
+of an id.  Ties in the mix fall by a hash of the id.  Empty tables give empty results: no labels keep all
+documents, no benchmark items drop none.
 """
 
 from __future__ import annotations
