@@ -526,6 +526,27 @@ def test_pipeline(spark, sf):
     assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count() > 0
 
 
+def test_pipeline_on_odd_and_empty_input(spark, sf, tmp_path):
+    """Null texts and ids, equal rows, a column with a clashing name, and no rows at all."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, None, None, None, None), (None, text + " more", "en", None, 0), (3, "", "en", "s", 0), (4, text.upper(), "de", "t", 0)]
+    tables = {"documents": spark.createDataFrame(rows, DOCS).withColumn("_may", F.lit("clash")).withColumn("label", F.lit(7)), "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        df.where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    docs = p.table(spark, f"{tmp_path}/odd", "documents")
+    kept = []
+    for name, stage in p.STAGES[:-1]:
+        docs = p.written(stage(spark, docs, f"{tmp_path}/odd"), name)
+        assert docs.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "_may", "label"]
+        kept.append(sorted(str(r.doc_id) for r in docs.collect()))
+    assert kept[0] == ["1", "1", "2", "3", "4", "None"] and kept[1] == kept[2] == ["1", "2", "3", "None"] and set(kept[3]) <= {"1", "None"}
+    assert sorted(str(r.doc_id) for r in p.STAGES[-1][1](spark, docs, "").collect()) == kept[3]
+    assert p.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_queries_match_sql(spark, sf):
     from conftest import assert_matches, duck
 
