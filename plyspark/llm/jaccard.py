@@ -44,7 +44,7 @@ GROUPS = 256
 #: Slots of the count table, 4 bytes each; its chunks are summed apart.
 SLOTS, CHUNKS = 1 << 20, 32
 #: Points of one block of a large collection, and of one leaf of a tree.
-BLOCK, LEAF = 4096, 32
+BLOCK, LEAF = 512, 32
 #: Boxes below an inner node of a tree, and pairs of boxes that are compared at once.
 FAN, BOXES = 8, 4096
 #: Beside the first class of its collection, a class meets so many that follow it in one order of all classes.
