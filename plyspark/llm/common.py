@@ -11,15 +11,19 @@ from ..session import importable
 
 #: Bits of the filter in `may_contain`: 8 MB at most, whatever the number of keys.
 FILTER_BITS = 1 << 26
+#: Python workers stay from task to task; with these they give freed memory back instead of keeping it.  Arrays of
+#: 4 MB and more are mapped one by one, at most 8 MB stay free in the heap, and Arrow's buffers come from the same heap.
+LEAN = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 _PAGE = 1 << 15  # bits of one bitmap of bitmap_construct_agg
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts fits a Python worker; one thread for each worker,
-    as there is a worker for each core."""
+    as there is a worker for each core; workers that keep little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         spark.sparkContext.environment[name] = "1"
+    spark.sparkContext.environment.update(LEAN)
     importable(spark)
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ SLOTS, CHUNKS = 1 << 20, 32
 BLOCK, LEAF = 4096, 32
 #: Boxes below an inner node of a tree, and pairs of boxes that are compared at once.
 FAN, BOXES = 8, 4096
+#: Pairs that leave a task at once.
+PAIRS = 20_000
 #: Beside the first class of its collection, a class meets so many that follow it in one order of all classes.
 AHEAD = 3
 #: A class with more than one in so many rows is joined by a broadcast.
@@ -250,20 +253,21 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low, high = np.minimum(x[2][i], y[2][j])[keep], np.maximum(x[2][i], y[2][j])[keep]
                     yield from zip(low.tolist(), high.tolist())
 
-    rows, key, out = [], None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != key and rows:
-                out += done(rows)
-                rows = []
-                if len(out) > 20_000:
-                    yield _pair_batch(out)
-                    out = []
-            key = row[:3]
-            rows.append(row)
-    if rows:
-        out += done(rows)
-    if out:
+    def pairs() -> Iterator[tuple[int, int]]:
+        rows, key = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key and rows:
+                    yield from done(rows)
+                    rows = []
+                key = row[:3]
+                rows.append(row)
+        if rows:
+            yield from done(rows)
+
+    # One collection can have millions of pairs; they leave as they are found.
+    found = pairs()
+    while out := list(islice(found, PAIRS)):
         yield _pair_batch(out)
 
 

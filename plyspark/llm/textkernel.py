@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,10 @@ class Family:
         if lower:
             self.table[65:91] = self.table[97:123]
         self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 3
-        self.inverse = _inverse(self.base)
-        self._pow = self._inv = np.ones(1, U)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """base^i and base^-i for i up to n; kept, as slices are of one size."""
-        if len(self._pow) <= n:
-            size = max(n + 1, SLICE_BYTES)
-            with np.errstate(over="ignore"):
-                self._pow = np.cumprod(np.concatenate([[U(1)], np.full(size, self.base % (1 << 64), U)]), dtype=U)
-                self._inv = np.cumprod(np.concatenate([[U(1)], np.full(size, self.inverse, U)]), dtype=U)
-        return self._pow, self._inv
+        return _powers(self.base, n) if n > SLICE_BYTES else _kept_powers(self.base)
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Polynomial hash of values[start:end] for each pair, independent of where it stands."""
@@ -74,6 +68,17 @@ class Family:
             return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[U(1)], np.full(n, x % (1 << 64), U)]), dtype=U) for x in (base, _inverse(base)))
+
+
+@lru_cache(maxsize=2)
+def _kept_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 MB each; of few bases, as a worker goes from one operator to the next."""
+    return _powers(base, SLICE_BYTES)
+
+
 _families: dict[tuple[int, bool], Family] = {}
 
 

@@ -171,7 +171,8 @@ def read_token_records(manifest: DataFrame, folder: str, with_ids: bool = False)
                         before += int(counts.sum())
                         low = high
 
-    table = spark.createDataFrame(files, "file string, start long")
+    # As an Arrow table: rows of Python objects would start workers of another kind on every executor.
+    table = spark.createDataFrame(pa.table({"file": pa.array([f for f, _ in files], pa.string()), "start": pa.array([s for _, s in files], pa.int64())}))
     return table.repartition(max(1, len(files))).mapInArrow(read, schema)
 
 
